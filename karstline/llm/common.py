@@ -99,6 +99,34 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(roots)
 
 
+BITS = 1 << 23
+
+
+def marked(keys: DataFrame) -> DataFrame:
+    """A bit table of keys (one column, any type): at most BITS / 64 rows, whatever the number of keys."""
+    bit = _BIT.format(keys.columns[0])
+    word = keys.select(F.expr(f"shiftright({bit}, 6)").alias("__word"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("b"))
+    return word.groupBy("__word").agg(F.bit_or("b").alias("__mask"))
+
+
+_BIT = f"pmod(xxhash64(`{{}}`), {BITS}L)"
+
+
+def split_by(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be in keys, all others), told apart by the bit table without a
+    shuffle of df. The first part holds some rows besides; more, up to all, as the table fills."""
+    bits = cut(marked(keys), "bits")
+    bit = _BIT.format(key)
+    known = df.withColumn("__word", F.expr(f"shiftright({bit}, 6)")).join(F.broadcast(bits), "__word", "left")
+    hit = F.expr(f"coalesce(shiftright(__mask, cast({bit} % 64 as int)) & 1, 0) = 1")
+    return known.where(hit).drop("__word", "__mask"), known.where(~hit).drop("__word", "__mask")
+
+
+def only(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Left semi join of df with keys (key), after split_by has put most other rows aside."""
+    return split_by(df, key, keys)[0].join(keys, key, "left_semi")
+
+
 def _mark(e: DataFrame) -> tuple:
     """Count and order-free fingerprint of an edge set."""
     return tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
@@ -123,29 +151,32 @@ def link_buckets(
     multi = cut(post.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "multi")
     live = cut(post.join(multi.select("bucket"), "bucket"), "live")
     drop_cut(multi)
-    links, comp = None, None
+    comp, lab, spent = None, live.withColumn("lab", F.col("id")), []
     for k in range(rounds + 1):
-        lab = live.withColumn("lab", F.col("id"))
+        pick = lab
         if comp is not None:
-            lab = live.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("lab", F.coalesce("root", "id")).drop("root")
-            lab = cut(lab, "labelled")
-            open_ = cut(
-                lab.groupBy("bucket").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo < hi"), "open"
-            )
+            every = live.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("lab", F.coalesce("root", "id")).drop("root")
+            every = cut(every, "labelled")
+            open_ = every.groupBy("bucket").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo < hi")
+            open_ = cut(open_, "open")
             if open_.isEmpty():
+                drop_cut(every, open_)
                 break
-            lab = cut(lab.join(open_.select("bucket"), "bucket"), "labelled")
-        pick = lab if k == 0 or k == rounds else lab.join(open_.select("bucket", "lo"), "bucket").where("lab <> lo").drop("lo")
+            lab = cut(every.join(open_.select("bucket", "lo"), "bucket"), "labelled")
+            drop_cut(every, open_)
+            pick = lab.where("lab <> lo") if k < rounds else lab
+        hubs = lab
         if k < rounds:
-            hub = cut(pick.groupBy("bucket").agg(F.min("id").alias("hub")), "hub")
-            hubs = hub.join(pick.withColumnRenamed("id", "hub"), ["bucket", "hub"])
-            hubs = cut(hubs.dropDuplicates(["bucket", "hub"]).withColumnRenamed("hub", "id"), "hubs")
-        else:
-            hubs = lab
-        cross = "r.id < l.id" if k == rounds else "r.id <> l.id"
-        pairs = lab.alias("l").join(hubs.alias("r"), F.expr(f"l.bucket = r.bucket and {cross} and l.lab <> r.lab and ({keep})"))
-        pairs = pairs.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b")).distinct()
+            hub = cut(pick.groupBy("bucket").agg(F.min("id").alias("id")), "hub")
+            hubs = cut(lab.join(hub, ["bucket", "id"]).dropDuplicates(["bucket", "id"]), "hubs")
+            spent += [hub, hubs]
+        once = "r.id < l.id" if k == rounds else "r.id <> l.id"
+        pairs = lab.alias("l").join(hubs.alias("r"), F.expr(f"l.bucket = r.bucket and {once} and l.lab <> r.lab and ({keep})"))
+        pairs = cut(pairs.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b")).distinct(), "pairs")
         found = cut(verify(pairs).select("a", "b"), "links")
-        links = found if links is None else comp.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(found)
-        comp = cut(components(links), "components")
+        links = found if comp is None else comp.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(found)
+        comp = components(links)
+        drop_cut(pairs, found, lab, *spent)
+        spent = []
+    drop_cut(live)
     return comp

@@ -11,8 +11,9 @@ when 100 * intersection >= percent * union.
 3. A set of s shingles has a prefix of s - ceil(percent * s / 100) + 1. Linked
    sets share a shingle of their prefixes. Classes with the same prefix and size
    form one group; only groups are joined, under the size and position filters.
-4. Group pairs that pass are expanded to their members, whose whole sets are
-   intersected. Members of one group are compared by the same way.
+4. Group pairs that pass are expanded to their members. Parities of their shingles
+   in 1024 cells differ in no more cells than the sets differ in shingles, which
+   rules out most other pairs; the whole sets of the rest are intersected. Members of one group are compared by the same way.
 
 Null, empty and white-space texts have no shingle and link with nothing. A row
 with a null id links with nothing and gets a null component. Repeated rows give
@@ -29,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, link_buckets, small_batches
+from .common import cut, drop_cut, link_buckets, only, small_batches
 from .hashing import mix, runs, signed, words
 
 CELLS = 1 << 18
+BITS = 1024
 _U = np.uint64
 
 
@@ -77,33 +79,44 @@ def _prefixes(width: int, percent: int, weight):
     def run(batches):
         cells = weight.value
         for batch in batches:
-            size, f1, f2, prefix = [], [], [], []
+            size, f1, f2, prefix, odd = [], [], [], [], []
             for _, x in shingles(batch, width):
                 s = len(x)
                 size.append(s)
                 f1.append(np.add.reduce(mix(x)) if s else _U(0))
                 f2.append(np.bitwise_xor.reduce(mix(x + _U(0x5851F42D4C957F2D))) if s else _U(0))
                 keep = s - (percent * s + 99) // 100 + 1 if s else 0
+                parity = np.bincount((mix(x ^ _U(0x2545F4914F6CDD1D)) % _U(BITS)).astype(np.int64), minlength=BITS) & 1
+                odd.append(np.packbits(parity.astype(np.uint8)).view(_U))
                 order = np.lexsort((x, cells[(x % _U(CELLS)).astype(np.int64)]))[:keep]
                 prefix.append(x[order])
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.record_batch(
-                [ids, pa.array(size, pa.int64()), pa.array(signed(np.array(f1, _U))), pa.array(signed(np.array(f2, _U))), _lists(prefix)],
-                ["doc_id", "size", "f1", "f2", "prefix"],
+                [ids, pa.array(size, pa.int64()), pa.array(signed(np.array(f1, _U))), pa.array(signed(np.array(f2, _U))), _lists(prefix), _lists(odd)],
+                ["doc_id", "size", "f1", "f2", "prefix", "odd"],
             )
 
     return run
 
 
-def _sets(width: int):
+def _overlap(width: int, percent: int):
+    """Pairs (a, b) whose texts x and y meet the threshold."""
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            yield pa.record_batch([ids, _lists([x for _, x in shingles(batch, width)])], ["id", "items"])
+            hit = []
+            for (_, p), (_, q) in zip(_each(batch, "x", width), _each(batch, "y", width)):
+                same = len(np.intersect1d(p, q, assume_unique=True))
+                hit.append(same > 0 and 100 * same >= percent * (len(p) + len(q) - same))
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return run
 
 
+def _each(batch: pa.RecordBatch, column: str, width: int):
+    return shingles(pa.record_batch([batch.column(batch.schema.get_field_index(column))], ["text"]), width)
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -118,7 +131,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     shared = spark.sparkContext.broadcast(weight)
 
     sets = cut(
-        docs.mapInArrow(_prefixes(width, percent, shared), "doc_id long, size long, f1 long, f2 long, prefix array<long>"),
+        docs.mapInArrow(_prefixes(width, percent, shared), "doc_id long, size long, f1 long, f2 long, prefix array<long>, odd array<long>"),
         "prefixes",
     )
     classes = cut(
@@ -126,25 +139,29 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     )
     # 9 of 10 is the least ratio of two different sets that can reach 0.9: below that size only equal sets link.
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
-    reps = sets.join(classes.where(f"size >= {least}").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    reps = reps.where(f"size >= {least}").groupBy("doc_id", "size", "f1", "f2").agg(F.first("prefix").alias("prefix"))
-    members = cut(
-        reps.select(F.col("doc_id").alias("id"), "size", F.xxhash64("prefix", "size").alias("p1"), F.hash("prefix").alias("p2"), "prefix"),
-        "members",
+    wide = sets.where(f"size >= {least}").join(
+        classes.where(f"size >= {least}").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"
+    )
+    members = wide.dropDuplicates(["doc_id"]).select(
+        F.col("doc_id").alias("id"), "size", F.xxhash64("prefix", "size").alias("p1"), F.hash("prefix").alias("p2"), "prefix", "odd"
     )
-    groups = members.groupBy("p1", "p2", "size").agg(F.min("id").alias("grp"), F.count("*").alias("n"), F.first("prefix").alias("prefix"))
-    groups = cut(groups, "groups")
-    member = members.join(groups.select("p1", "p2", "size", "grp", "n"), ["p1", "p2", "size"]).select("grp", "id", "n")
+    members = cut(members, "members")
+    groups = cut(members.groupBy("p1", "p2", "size").agg(F.min("id").alias("grp"), F.count("*").alias("n")), "groups")
+    member = cut(members.select("id", "p1", "p2", "size").join(groups, ["p1", "p2", "size"]).select("grp", "id", "n"), "member")
 
     def overlapping(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of documents whose whole sets meet the threshold."""
-        pairs = cut(pairs, "pairs")
+        odd = members.select("id", "size", "odd")
+        near = pairs.join(odd.toDF("a", "s", "p"), "a").join(odd.toDF("b", "t", "q"), "b")
+        apart = F.expr("aggregate(zip_with(p, q, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+        pairs = cut(near.where((100 + percent) * apart <= (100 - percent) * (F.col("s") + F.col("t"))).select("a", "b"), "near")
         involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        items = cut(docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, items array<long>"), "items")
-        both = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        both = both.join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b").distinct()
+        texts = cut(only(docs, "doc_id", cut(involved, "involved")).dropDuplicates(["doc_id"]), "texts")
+        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+        both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+        found = cut(both.mapInArrow(_overlap(width, percent), "a long, b long"), "overlaps")
+        drop_cut(texts)
+        return found
 
     # Within a group of several members: the members that link form a unit; any other member is a unit of its own.
     several = cut(member.where("n > 1").select(F.col("grp").alias("bucket"), "id"), "several")
@@ -156,19 +173,19 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
     def expanded(pairs: DataFrame) -> DataFrame:
         """Pairs of units of which some members link."""
-        wide = pairs.join(unit.select(F.col("unit").alias("a"), F.col("id").alias("x")), "a")
-        wide = wide.join(unit.select(F.col("unit").alias("b"), F.col("id").alias("y")), "b")
-        wide = cut(wide.select("a", "b", F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")), "expanded")
-        hit = overlapping(wide.select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct())
+        both = pairs.join(unit.select(F.col("unit").alias("a"), F.col("id").alias("x")), "a")
+        both = both.join(unit.select(F.col("unit").alias("b"), F.col("id").alias("y")), "b")
+        both = cut(both.select("a", "b", F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")), "expanded")
+        hit = overlapping(cut(both.select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct(), "members"))
         hit = hit.select(F.col("a").alias("hi"), F.col("b").alias("lo"))
-        return wide.join(hit, ["hi", "lo"], "left_semi").select("a", "b").distinct()
+        return both.join(hit, ["hi", "lo"], "left_semi").select("a", "b").distinct()
 
-    post = groups.select("grp", "size", F.posexplode("prefix").alias("pos", "bucket"))
-    post = post.join(unit.select("grp", "unit").distinct(), "grp").select("bucket", F.col("unit").alias("id"), "size", "pos")
-    overlap = f"least(l.pos, r.pos) + least(l.size - l.pos, r.size - r.pos)"
+    post = members.select(F.col("id").alias("grp"), "size", "prefix").join(unit.select("grp", "unit").distinct(), "grp")
+    post = post.select(F.posexplode("prefix").alias("pos", "bucket"), F.col("unit").alias("id"), "size").select("bucket", "id", "size", "pos")
+    # At the first shingle that two prefixes share, what is left of either set bounds the intersection.
     keep = (
         f"100 * least(l.size, r.size) >= {percent} * greatest(l.size, r.size) and "
-        f"{100 + percent} * ({overlap}) >= {percent} * (l.size + r.size)"
+        f"{100 + percent} * least(l.size - l.pos, r.size - r.pos) >= {percent} * (l.size + r.size)"
     )
     comp = link_buckets(post, expanded, keep)
     whole = unit.join(comp.withColumnRenamed("v", "unit"), "unit", "left")

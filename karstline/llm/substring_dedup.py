@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, split_by
 from .hashing import runs, signed, words
 
 _U = np.uint64
@@ -158,7 +158,8 @@ def repeated_starts(docs: DataFrame, length: int = 50, period: int = 31) -> Data
         F.collect_list(F.when(F.col("lo") < F.col("doc_id"), F.col("pos"))).alias("ask"),
     )
     mine = cut(mine, "extend")
-    win = docs.select("doc_id", "text").join(mine, "doc_id").mapInArrow(
+    near, _ = split_by(docs.select("doc_id", "text"), "doc_id", mine.select("doc_id"))
+    win = near.join(mine, "doc_id").mapInArrow(
         _windows(length, period), "h1 long, h2 int, doc_id long, pos int, kind byte"
     )
     win = cut(win, "windows")
@@ -171,6 +172,8 @@ def substring_dedup(docs: DataFrame, length: int = 50, period: int = 31) -> Data
     """doc_id, n_words, n_removed, kept_sha256, kept_text: one row per row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     starts = repeated_starts(docs, length, period)
-    return docs.join(starts, "doc_id", "left").mapInArrow(
+    hit, rest = split_by(docs, "doc_id", starts.select("doc_id"))
+    hit = hit.join(starts, "doc_id", "left").select("doc_id", "text", "starts")
+    return hit.unionByName(rest.withColumn("starts", F.lit(None).cast("array<int>"))).mapInArrow(
         _kept(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
