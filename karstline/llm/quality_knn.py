@@ -53,6 +53,18 @@ def features(batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def _axes(z: np.ndarray, rank: int) -> np.ndarray:
+    """Leading right singular vectors, by a randomised range finder with power iterations: little memory, fixed seed."""
+    rank = min(rank, *z.shape) if len(z) else 0
+    if not rank:
+        return np.zeros((FEATURES, 1), np.float32)
+    y = z @ np.random.default_rng(5).standard_normal((z.shape[1], min(rank + 32, *z.shape)), np.float32)
+    for _ in range(4):
+        y = z @ (z.T @ np.linalg.qr(y)[0])
+    _, _, v = np.linalg.svd(np.linalg.qr(y)[0].T @ z, full_matrices=False)
+    return np.ascontiguousarray(v[:rank].T)
+
+
 class Model:
     """Latent space and labelled sample."""
 
@@ -62,8 +74,8 @@ class Model:
         self.idf = np.log((1.0 + len(x)) / (1.0 + (x > 0).sum(axis=0))).astype(np.float32) + 1
         self.mean = (x * self.idf).mean(axis=0) if len(x) else np.zeros(FEATURES, np.float32)
         z = x * self.idf - self.mean
-        value, vector = np.linalg.eigh((z.T @ z).astype(np.float64)) if len(x) else (np.zeros(1), np.zeros((FEATURES, 1)))
-        self.axes = vector[:, np.argsort(-value)[:rank]].astype(np.float32)
+        self.axes = _axes(z, rank)
+        del z
         self.known = self._latent(x)
 
     def _latent(self, x: np.ndarray) -> np.ndarray:
