@@ -30,8 +30,7 @@ def _open(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from labelled rows that are not held out."""
-    labels = table(spark, sf_dir, "labels").where(~quality_knn.held_out()).select("doc_id", "quality")
-    model = quality_knn.fit(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    model = quality_knn.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~quality_knn.held_out()))
     return _open(quality_knn.score_documents(_packed(docs), model).where(F.col("score") >= ACCEPT), docs.columns)
 
 

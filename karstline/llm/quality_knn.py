@@ -71,6 +71,8 @@ class Model:
     def __init__(self, x: np.ndarray, y: np.ndarray, rank: int, neighbours: int, sharpness: float):
         self.y, self.neighbours, self.sharpness = y.astype(np.float32), neighbours, sharpness
         self.prior = float(y.mean()) if len(y) else 0.5
+        # votes of a label that is rarer in the sample count for more
+        self.weight = np.where(y == 1, 0.5 / max(self.prior, 1e-9), 0.5 / max(1 - self.prior, 1e-9))
         self.idf = np.log((1.0 + len(x)) / (1.0 + (x > 0).sum(axis=0))).astype(np.float32) + 1
         self.mean = (x * self.idf).mean(axis=0) if len(x) else np.zeros(FEATURES, np.float32)
         z = x * self.idf - self.mean
@@ -92,18 +94,25 @@ class Model:
         for at in range(0, len(z), 512):
             sim = z[at : at + 512] @ self.known.T
             best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(sim, best, axis=1), 1e-6).astype(np.float64) ** self.sharpness
+            w = np.maximum(np.take_along_axis(sim, best, axis=1), 1e-6).astype(np.float64) ** self.sharpness * self.weight[best]
             got[at : at + 512] = (w * self.y[best]).sum(axis=1) / w.sum(axis=1)
         out[some] = got
         return out
 
 
-def fit(labelled: DataFrame, fit_rows: int = 4000, rank: int = 96, neighbours: int = 15, sharpness: float = 4.0) -> Model:
-    """labelled(doc_id, text, quality). Rows with a null label are left out."""
-    small_batches(labelled.sparkSession)
-    rows = labelled.where("quality in (0, 1)").select("quality", "text", F.xxhash64("doc_id", "text").alias("h"))
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, rank: int = 96, neighbours: int = 15, sharpness: float = 4.0) -> Model:
+    """Model of docs(doc_id, text) and labels(doc_id, quality); other labels than 0 and 1 are left out.
+
+    The sample is drawn from the labels alone: at most fit_rows ids, which are then
+    broadcast to the documents, so no text is shuffled.
+    """
+    small_batches(docs.sparkSession)
+    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
+    known = known.withColumn("h", F.xxhash64("doc_id"))
     # half the rows from either label, so that a rare label has neighbours too
-    parts = [rows.where(f"quality = {q}").orderBy("h").limit(fit_rows // 2) for q in (0, 1)]
+    parts = [known.where(f"quality = {q}").orderBy("h", "doc_id").limit(fit_rows // 2) for q in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]).select("doc_id", "quality"))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("quality", "text")
 
     def run(batches):
         for b in batches:
@@ -113,7 +122,7 @@ def fit(labelled: DataFrame, fit_rows: int = 4000, rank: int = 96, neighbours: i
                 ["quality", "x"],
             )
 
-    got = parts[0].unionByName(parts[1]).mapInArrow(run, "quality int, x binary").toArrow()
+    got = rows.mapInArrow(run, "quality int, x binary").toArrow()
     y = np.array(got["quality"].to_pylist(), np.int32)
     x = np.array([np.frombuffer(v, np.float16) for v in got["x"].to_pylist()], np.float32).reshape(len(y), FEATURES)
     return Model(x, y, rank, neighbours, sharpness)

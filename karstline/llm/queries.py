@@ -18,9 +18,9 @@ def embedding_neardup(spark: SparkSession, d: str) -> DataFrame:
 def quality(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels")
-    known = docs.join(labels.where(~quality_knn.held_out()).select("doc_id", "quality"), "doc_id")
-    scored = quality_knn.score_documents(docs, quality_knn.fit(known))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = quality_knn.fit(docs, table(spark, d, "labels").where(~quality_knn.held_out()))
+    scored = quality_knn.score_documents(docs, model)
     return scored.select(
         "doc_id", quality_knn.held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted")
     )
