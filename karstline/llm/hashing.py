@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -81,5 +83,12 @@ def words(batch: pa.RecordBatch, text: str = "text", lower: bool = False) -> Ite
         yield i, j, Words(data, bounds, lower)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(_U).view(np.int64)

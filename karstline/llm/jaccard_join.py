@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, link_buckets, only, small_batches
-from .hashing import mix, runs, signed, words
+from .hashing import mix, release, runs, signed, words
 
 CELLS = 1 << 18
 BITS = 1024
@@ -69,6 +69,7 @@ def _count_cells(width: int):
                 cells += np.bincount((np.concatenate(found) % _U(CELLS)).astype(np.int64), minlength=CELLS)
         at = np.flatnonzero(cells)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
+        release()
 
     return run
 
@@ -95,6 +96,7 @@ def _prefixes(width: int, percent: int, weight):
                 [ids, pa.array(size, pa.int64()), pa.array(signed(np.array(f1, _U))), pa.array(signed(np.array(f2, _U))), _lists(prefix), _lists(odd)],
                 ["doc_id", "size", "f1", "f2", "prefix", "odd"],
             )
+        release()
 
     return run
 
@@ -109,6 +111,7 @@ def _overlap(width: int, percent: int):
                 same = len(np.intersect1d(p, q, assume_unique=True))
                 hit.append(same > 0 and 100 * same >= percent * (len(p) + len(q) - same))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        release()
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, split_by
-from .hashing import runs, signed, words
+from .hashing import release, runs, signed, words
 
 _U = np.uint64
 _SECOND = _U(0xA24BAED4963EE407)
@@ -77,6 +77,7 @@ def _anchors(length: int, period: int):
                 yield pa.record_batch(
                     [pa.array(hashes), pa.array(ids[rows[ok]].astype(np.int64)), pa.array(pos[ok].astype(np.int32))], ["h", "doc_id", "pos"]
                 )
+        release()
 
     return run
 
@@ -111,6 +112,7 @@ def _windows(length: int, period: int):
                     h1, h2 = runs(w.hash, s, s + length), runs(w.hash, s, s + length, _SECOND)
                     cols = [signed(h1), (signed(h2) >> 32).astype(np.int32), np.concatenate(owner), np.concatenate(place), np.concatenate(kinds)]
                     yield pa.record_batch([pa.array(x) for x in cols], ["h1", "h2", "doc_id", "pos", "kind"])
+        release()
 
     return run
 
@@ -142,6 +144,7 @@ def _kept(length: int):
                 [ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array([x.decode() for x in text], pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
+        release()
 
     return run
 
