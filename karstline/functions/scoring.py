@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Default thresholds, weights and the reference error in pixels.
 PASS, WARN = 80.0, 50.0
@@ -50,7 +51,10 @@ def _draws(seed: np.ndarray, n: int) -> np.ndarray:
     return (z >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-@F.pandas_udf("rmse_px double, mean_error_px double, completeness_pct double, baseline_ratio double, point_count double, mean_confidence double")
+METRICS = T.StructType([T.StructField(f"{c}", T.DoubleType()) for c in ("rmse_px", "mean_error_px", "completeness_pct", "baseline_ratio", "point_count", "mean_confidence")])
+
+
+@F.pandas_udf(METRICS)
 def mock_metrics(digest: pd.Series) -> pd.DataFrame:
     """Metrics drawn from the first 16 hex digits of a run seed; the mean error takes no draw."""
     u = _draws(np.array([int(x[:16], 16) for x in digest], np.uint64), 5)
