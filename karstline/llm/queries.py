@@ -79,4 +79,12 @@ QUERIES = {
 }
 
 #: DuckDB forms where SQL can express the result on whole tables in reasonable time; the others are tested by brute force.
-ORACLE = {}
+ORACLE = {
+    "op1_embedding_neardup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(x, y) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+roots AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, r.component_id, e.vec_id = r.component_id AS kept FROM e JOIN roots r ON r.x = e.vec_id
+"""
+}
