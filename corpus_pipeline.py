@@ -64,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: No stage but the mask's is expressible in SQL at a bearable cost; tests hold each against a brute-force version.
+#: Not written in SQL; tests hold the operators against brute-force versions and run the stages.
 ORACLE_SQL = None
 
 
