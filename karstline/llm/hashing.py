@@ -61,20 +61,37 @@ class Words:
         self.hash = runs(_TABLE[_LOWER[data] if lower else data], self.start, self.end)
 
 
+def char_shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `width` characters (UTF-8) within each text, and the index of each text's first one."""
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    char = np.searchsorted(start, bounds)
+    n = np.diff(char)
+    at = np.flatnonzero(np.arange(width, len(start) + width) <= np.repeat(char[1:], n))
+    first = np.zeros(len(bounds), np.int64)
+    np.cumsum(np.maximum(n - (width - 1), 0), out=first[1:])
+    ends = np.append(start, len(data))
+    return runs(_TABLE[data], start[at], ends[at + width]), first
+
+
+def raw(col: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and byte bounds of a column of texts without nulls."""
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offs, data = col.buffers()
+    off = np.frombuffer(offs, np.int64)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), off
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, byte bounds of the rows) by about CHUNK bytes; a null text has no bytes."""
     col = batch.column(batch.schema.get_field_index(text)).fill_null("").cast(pa.large_string())
     n = len(col)
-    if not n:
-        return
-    _, offs, data = col.buffers()
-    off = np.frombuffer(offs, np.int64)[col.offset : col.offset + n + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    data, off = raw(col)
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
         j = min(j, n)
-        yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
 
