@@ -133,7 +133,8 @@ def _mark(e: DataFrame) -> tuple:
 
 
 def link_buckets(
-    post: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str = "true", rounds: int = 2
+    post: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str = "true", rounds: int = 2,
+    prepare: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Components over all verified pairs of post(bucket, id, ...) that share a bucket.
 
@@ -146,11 +147,14 @@ def link_buckets(
 
     keep: predicate on columns of post as l.* and r.* that every linkable pair
     meets (size or position filter). verify: takes distinct pairs (a, b) and
-    returns those that link. Returns (v, root) of linked vertices.
+    returns those that link. prepare: called once, with the rows of post that share
+    a bucket; every later pair is of their ids. Returns (v, root) of linked vertices.
     """
     multi = cut(post.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "multi")
     live = cut(post.join(multi.select("bucket"), "bucket"), "live")
     drop_cut(multi)
+    if prepare:
+        prepare(live)
     comp, lab, spent = None, live.withColumn("lab", F.col("id")), []
     for k in range(rounds + 1):
         pick = lab

@@ -82,14 +82,14 @@ def raw(col: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), off
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, byte bounds of the rows) by about CHUNK bytes; a null text has no bytes."""
+def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, byte bounds of the rows) by about `size` bytes; a null text has no bytes."""
     col = batch.column(batch.schema.get_field_index(text)).fill_null("").cast(pa.large_string())
     n = len(col)
     data, off = raw(col)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         j = min(j, n)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
