@@ -283,3 +283,35 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
             docs = spark.createDataFrame(out.collect(), docs.schema)
     assert out.count() == docs.count() > 100
+
+
+def test_line_kernels():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("abcdé ß漢😀"), n)) for n in (0, 3, 9, 10, 11, 60, 400, 5000)]
+    x, y = [], []
+    for t in base:
+        for cuts in (0, 1, 3):
+            u = list(t)
+            for p in rng.integers(0, len(u), cuts) if u else []:
+                u[p] = "#"
+            x.append(t)
+            y.append("".join(u))
+    got = line_dedup._similar(pa.array(x, pa.large_string()), pa.array(y, pa.large_string()), 10, 80)
+    for s, t, g in zip(x, y, got):
+        a, b = ({v[i : i + 10] for i in range(len(v) - 9)} for v in (s, t))
+        assert g == (100 * len(a & b) >= 80 * len(a | b))
+    raw = [v.encode() for v in base]
+    bounds = np.cumsum([0, *map(len, raw)])
+    has, words = line_dedup._signed_lines(np.frombuffer(b"".join(raw), np.uint8), bounds, 10, 12, 3)
+    assert has.tolist() == [len(v) >= 10 for v in base]
+    assert len(words) == 14 and all(len(w) == has.sum() for w in words)
+
+
+def test_op3_odd_tables(spark):
+    def run(rows):
+        return {(r.doc_id, r.text, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    assert run([]) == set()
+    assert run([(1, None), (2, ""), (3, "short\nshort")]) == {(1, None, 0), (2, "", 0), (3, "short", 1)}
