@@ -71,6 +71,21 @@ def test_op1(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(500, 505)) and got[None].component_id is None
 
 
+def test_op1_uneven_energy(spark):
+    """Pairs at a cosine just over 0.98 whose energy is spread unevenly over the dimensions."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for scale in (np.repeat([1.0, 0.1], 32), 1 / np.arange(1, 65), np.r_[np.ones(4), np.full(60, 0.02)]):
+        for _ in range(200):
+            x, e = rng.standard_normal((2, 64)) * scale
+            x /= np.linalg.norm(x)
+            e -= (e @ x) * x
+            y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * e / np.linalg.norm(e)
+            rows += [(len(rows), x.tolist(), len(rows) // 2), (len(rows) + 1, y.tolist(), len(rows) // 2)]
+    got = cap_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 1, 2 * k) for i, _, k in rows}
+
+
 def test_op2(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
