@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that repeat an earlier one exactly or nearly."""
-    return line_dedup.line_dedup(docs).select(*docs.columns)
+    return line_dedup.line_dedup(docs, widths=line_dedup.WIDTHS).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

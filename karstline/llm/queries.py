@@ -30,7 +30,7 @@ def fuzzy_lines(spark: SparkSession, d: str) -> DataFrame:
     """Digest of line_dedup: counts and SHA-256 of the text that stays."""
     from pyspark.sql import functions as F
 
-    out = line_dedup.line_dedup(table(spark, d, "documents").select("doc_id", "text"))
+    out = line_dedup.line_dedup(table(spark, d, "documents").select("doc_id", "text"), widths=line_dedup.WIDTHS)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

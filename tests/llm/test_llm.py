@@ -330,3 +330,40 @@ def test_op3_odd_tables(spark):
 
     assert run([]) == set()
     assert run([(1, None), (2, ""), (3, "short\nshort")]) == {(1, None, 0), (2, "", 0), (3, "short", 1)}
+
+
+def test_op3_one_character_edits(spark, tmp_path, monkeypatch):
+    """Lines of 20 to 130 characters with one inner character changed go; in the query and in the pipeline's stage."""
+    import corpus_pipeline as C
+
+    from karstline.llm import queries
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in [*range(20, 131, 2)]:
+        line = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789é"), n))
+        at = int(rng.integers(5, n - 5))
+        rows += [(len(rows), line, "xx", "test", n), (len(rows) + 1, line[:at] + "#" + line[at + 1 :], "xx", "test", n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    want = {(r[0], r[1] if r[0] % 2 == 0 else "") for r in rows}
+    assert {(r.doc_id, r.text) for r in C.lines(spark, docs, D).collect()} == want
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    assert {(r.doc_id, r.n_removed) for r in queries.fuzzy_lines(spark, D).collect()} == {(r[0], r[0] % 2) for r in rows}
+
+
+def test_op3_widths(spark, texts):
+    """Components at several widths against brute force over all pairs."""
+    lines = sorted({x for _, t in texts for y in t.split("\n") if (x := y.strip(" \t\r\x0b\x0c"))})
+    find, join = union_find()
+    for width, least, most in line_dedup.WIDTHS:
+        sets, inv = {x: {x[i : i + width] for i in range(len(x) - width + 1)} for x in lines if least <= len(x) <= most}, collections.defaultdict(list)
+        for x, s in sets.items():
+            for y, n in collections.Counter(y for k in s for y in inv[k]).items():
+                if 100 * n >= 80 * (len(s) + len(sets[y]) - n):
+                    join(x, y)
+            for k in s:
+                inv[k].append(x)
+    want = collections.Counter(find(x) for x in lines)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = line_dedup.line_dedup(docs, widths=line_dedup.WIDTHS).where("n_removed = 0").count()
+    assert got == len(want) < len(lines)
