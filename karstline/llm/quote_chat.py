@@ -4,12 +4,16 @@ Lines are cut by line feeds. A line's quote level is the number of > signs at it
 start (blanks between them allowed); level 0 is the message's own. A line such as
 "On ... wrote:" right before a quote introduces it and is dropped with it.
 
-Each own, non-empty line of a message is normalised (lower case, runs of other than
-letters and digits to one blank) and hashed; the original of a hash is the smallest
-turn of the conversation that says it. That is one row a conversation and hash,
-aggregated before the shuffle, so a line said in a third of all messages never meets
-itself. Quoted lines are looked up there. A message's parent is the earlier turn
-that owns most characters of its lowest-level linked quotes (ties: the later turn).
+Consecutive lines of one level form a passage. Its units are its lines, its sentences
+(cut after .!?… and at blank lines, not at line breaks) and its windows of `WINDOW`
+words, each normalised (lower case, runs of other than letters and digits to one blank)
+and hashed, so a quote is found however it or the original is wrapped; one of less than
+WINDOW words is found if it consists of whole lines or sentences. The original of a hash
+is the smallest turn of the conversation whose own text has it. That is one row a
+conversation and hash, aggregated before the shuffle, so a line said in a third of all
+messages never meets itself. Units of quotes are looked up there. A message's parent is
+the earlier turn that owns most characters of its lowest-level linked quotes, counted by
+lines, sentences or windows, whichever finds most (ties: the later turn).
 Threads are chains of parents, followed by pointer doubling. A conversation in reply
 order is its rows by thread (the turn it starts with), then turn: parents always
 come before replies, and messages that quote nothing stay in turn order.
@@ -24,18 +28,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, split_by
 
 MARKS = "^(?:[ \\t]*>)+"
+WINDOW = 8
 INTRO = "(?i)^\\s*(on .*wrote|am .*schrieb.*|le .*écrit|el .*escribió)\\s*:\\s*$"
 
 
-def _lines(conv: DataFrame) -> DataFrame:
-    at = conv.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    marks = F.regexp_extract("line", MARKS, 0)
-    at = at.withColumns({"level": F.length(F.translate(marks, " \t", "")), "rest": F.regexp_replace("line", MARKS, "")})
-    norm = F.trim(F.regexp_replace(F.lower("rest"), "[^\\p{L}\\p{N}]+", " "))
-    return at.select("conv_id", "turn", "no", "level", norm.alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
+def _norm(x: F.Column) -> F.Column:
+    return F.trim(F.regexp_replace(F.lower(x), "[^\\p{L}\\p{N}]+", " "))
+
+
+def _passages(conv: DataFrame) -> DataFrame:
+    """conv_id, turn, level and lines (without marks) of each run of lines of one level."""
+    at = conv.select("conv_id", "turn", F.split("text", "\n").alias("lines"))
+    at = at.withColumn("levels", F.transform("lines", lambda x: F.length(F.translate(F.regexp_extract(x, MARKS, 0), " \t", ""))))
+    at = at.withColumn("starts", F.expr("filter(sequence(0, size(levels) - 1), i -> i = 0 or levels[i] <> levels[i - 1])"))
+    at = at.select("conv_id", "turn", "lines", "levels", "starts", F.posexplode("starts").alias("k", "s"))
+    part = F.expr("slice(lines, s + 1, coalesce(get(starts, k + 1), size(levels)) - s)")
+    return at.select("conv_id", "turn", F.expr("levels[s]").alias("level"), F.transform(part, lambda x: F.regexp_replace(x, MARKS, "")).alias("lines"))
+
+
+def _units(passages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, kind, h, chars of the lines, sentences and word windows of passages."""
+    whole = F.array_join("lines", "\n")
+    keys = ["conv_id", "turn", "level"]
+    named = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+    sentences = F.split(whole, "(?<=[.!?…])\\s+|\\n[ \\t\\r]*\\n")
+    parts = F.explode(F.concat(named("line", F.col("lines")), named("sentence", sentences)))
+    plain = passages.select(*keys, parts.alias("p")).select(*keys, "p.kind", _norm(F.col("p.x")).alias("norm"))
+    plain = plain.where("norm <> ''").select(*keys, "kind", "norm", F.length("norm").cast("double").alias("chars"))
+    words = passages.select(*keys, F.split(_norm(whole), " ").alias("words")).where(F.size("words") >= WINDOW)
+    words = words.select(*keys, "words", F.explode(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))).alias("i"))
+    words = words.select(*keys, F.lit("window").alias("kind"), F.array_join(F.slice("words", F.col("i"), WINDOW), " ").alias("norm"))
+    every = plain.unionByName(words.withColumn("chars", F.length("norm") / WINDOW))
+    return every.withColumn("h", F.xxhash64("norm")).drop("norm")
 
 
 def _own_text() -> F.Column:
@@ -53,11 +80,14 @@ def _q(pattern: str) -> str:
 def quote_links(conv: DataFrame) -> DataFrame:
     """conv_id, turn, parent, thread, depth of every turn that quotes an earlier one."""
     known = conv.where("conv_id is not null and turn is not null and text is not null")
-    lines = _lines(known)
-    quoted = cut(lines.where("level > 0").select("conv_id", "turn", "level", "h", F.length("norm").alias("chars")), "quotes")
-    first = lines.where("level = 0").groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
+    some = known.where(F.col("text").rlike("(?m)" + MARKS))
+    quoted = cut(_units(_passages(some).where("level > 0")), "quotes")
+    # Conversations without quotes need no own units.
+    own = split_by(known, "conv_id", quoted.select("conv_id"))[0]
+    first = _units(_passages(own).where("level = 0")).groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
     hit = quoted.join(first, ["conv_id", "h"]).where("origin < turn")
-    votes = hit.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("chars").alias("chars"))
+    votes = hit.groupBy("conv_id", "turn", "level", "origin", "kind").agg(F.sum("chars").alias("chars"))
+    votes = votes.groupBy("conv_id", "turn", "level", "origin").agg(F.max("chars").alias("chars"))
     best = F.min(F.struct("level", (-F.col("chars")).alias("less"), (-F.col("origin")).alias("late")))
     links = votes.groupBy("conv_id", "turn").agg(best.alias("b")).select("conv_id", "turn", (-F.col("b.late")).alias("parent"))
     links = cut(links, "links")

@@ -223,6 +223,19 @@ def test_op8(spark):
     assert quote_chat.reply_chats(df.limit(0)).count() == 0
 
 
+def test_op8_wrapped_otherwise(spark):
+    """One paragraph quoted as several lines, several lines quoted as one, a part of a sentence, and a short quote."""
+    long = "The river had risen in the night and nobody could say when the ferry would run again. Ask the miller, he knows."
+    rows = [(1, 0, "user", long), (1, 1, "a", "> The river had risen in the night and nobody\n> could say when the ferry would run\n> again. Ask the miller,\n> he knows.\nI will."),
+            (2, 0, "user", "The river had risen in the night\nand nobody could say when\nthe ferry would run again."), (2, 1, "a", "other"), (2, 2, "user", "> The river had risen in the night and nobody could say when the ferry would run again.\nYes"),
+            (3, 0, "user", "before"), (3, 1, "a", long), (3, 2, "user", "> risen in the night and\n> nobody could say when the\nOh"),
+            (4, 0, "user", "before"), (4, 1, "a", "Ask the miller."), (4, 2, "user", "> > Ask\n> > the miller.\n> nothing said\nWho?"),
+            (5, 0, "user", long), (5, 1, "a", "> the ferry to the island would\n> run as it always had, they said\nNo link"),
+            (6, 0, "user", "Intro\n\nAsk the\nmiller"), (6, 1, "a", "> Ask the miller\nWhy")]
+    got = {(r.conv_id, r.turn): (r.parent, r.thread) for r in quote_chat.reply_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert {k: v for k, v in got.items() if v[0] is not None} == {(1, 1): (0, 0), (2, 2): (0, 0), (3, 2): (1, 1), (4, 2): (1, 1), (6, 1): (0, 0)}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
