@@ -1,7 +1,8 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
 A text is a vector of log-scaled counts of hashed byte pairs and triples, weighted by
-inverse document frequency. A truncated SVD of at most `fit_rows` labelled rows (the
+inverse document frequency. Frequencies and the mean are those of the sample below,
+not of all documents. A truncated SVD of at most `fit_rows` labelled rows (the
 smallest by a hash of the id, spread evenly over both labels) gives the latent
 space; the sample's unit vectors and labels are broadcast, so their size is fixed by
 fit_rows and rank whatever the input. Every document, labelled or not, is projected
