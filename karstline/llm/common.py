@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the
-    context's checkpoint folder. Only where neither is set (tests on one machine)
-    a folder of our own is made and set."""
+    context's checkpoint folder. In local mode, where all is one machine, a folder of
+    our own is made where neither is set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="karstline-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -75,28 +77,31 @@ def components(edges: DataFrame) -> DataFrame:
     shuffle, written, and joined back, so that a vertex with a third of all edges
     is split by adaptive execution. Self loops and edges with nulls are ignored.
     """
-    e = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "edges",
-    )
-    mark = _mark(e)
+    e, mark = _edges(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while mark[0]:
         both = e.select(F.col("u").alias("n"), F.col("v").alias("x")).unionByName(
             e.select(F.col("v").alias("n"), F.col("u").alias("x"))
         )
         low = cut(both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m")), "low")
-        large = cut(
-            both.where("x > n").join(low, "n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "large"
-        )
+        large = cut(both.where("x > n").join(low, "n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         hang = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(hang.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        new, now = _edges(hang.unionByName(least.select("u", F.col("m").alias("v"))))
         drop_cut(e, low, large, least)
-        e, before, mark = new, mark, _mark(new)
+        e, before, mark = new, mark, now
         if mark == before:
             break
     roots = e.select(F.col("v").alias("v"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(roots)
+    out = e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(roots)
+    out._cut_path = e._cut_path
+    return out
+
+
+def _edges(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges, written, with their count and an order-free fingerprint taken while writing."""
+    seen = Observation()
+    out = cut(df.distinct().observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), "edges")
+    return out, (seen.get["n"], seen.get["x"])
 
 
 BITS = 1 << 23
@@ -127,60 +132,61 @@ def only(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return split_by(df, key, keys)[0].join(keys, key, "left_semi")
 
 
-def _mark(e: DataFrame) -> tuple:
-    """Count and order-free fingerprint of an edge set."""
-    return tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-
-
 def link_buckets(
-    post: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str = "true", rounds: int = 2,
-    prepare: Callable[[DataFrame], None] | None = None,
+    post: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str = "true", rounds: int = 3,
+    prepare: Callable[[DataFrame], None] | None = None, sketch: Callable[[DataFrame], DataFrame] | None = None, near: str = "true",
 ) -> DataFrame:
     """Components over all verified pairs of post(bucket, id, ...) that share a bucket.
 
-    Emitting every pair within a bucket grows with its square, so: each round
-    links every member to the bucket's smallest member outside the first ones'
-    components and verifies those pairs; buckets whose members then all lie in
-    one component are finished, since further links could not change it. Of the
-    others, all pairs across components are verified. No link that matters for
-    the components is lost and no bucket is capped.
+    Emitting every pair within a bucket grows with its square, so each of `rounds` rounds
+    takes one hub out of every open bucket, compares it with all members of other
+    components, and puts it aside: all its pairs there are done. The hub is the member
+    that lies in most shared buckets, which an original among its variants does. A bucket is
+    open while its other members lie in several components; further links inside one
+    component could not change it. Of buckets still open after that, members of different
+    components meet in one join whose condition holds the exact test `near` of the
+    columns that `sketch` adds, so only pairs that can link become rows. No bucket is
+    capped and no link that matters for the components is lost.
 
     keep: predicate on columns of post as l.* and r.* that every linkable pair
     meets (size or position filter). verify: takes distinct pairs (a, b) and
     returns those that link. prepare: called once, with the rows of post that share
-    a bucket; every later pair is of their ids. Returns (v, root) of linked vertices.
+    a bucket; every later pair is of their ids. sketch: adds columns to rows of post;
+    near: predicate on them that every linkable pair meets. Returns (v, root) of linked vertices.
     """
-    multi = cut(post.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "multi")
-    live = cut(post.join(multi.select("bucket"), "bucket"), "live")
+    multi = cut(post.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket"), "multi")
+    live = cut(only(post, "bucket", multi).distinct(), "live")
     drop_cut(multi)
     if prepare:
         prepare(live)
-    comp, lab, spent = None, live.withColumn("lab", F.col("id")), []
+    degree = cut(live.groupBy("id").agg(F.count("*").alias("degree")), "degree")
+    lab = cut(live.join(degree, "id").withColumn("lab", F.col("id")), "labelled")
+    drop_cut(live, degree)
+    cols, comp = [F.col(c) for c in post.columns], None
     for k in range(rounds + 1):
-        pick = lab
         if comp is not None:
-            every = live.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("lab", F.coalesce("root", "id")).drop("root")
-            every = cut(every, "labelled")
-            open_ = every.groupBy("bucket").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo < hi")
-            open_ = cut(open_, "open")
+            left = lab.drop("lab").join(hub.select("bucket", F.col("hub.id").alias("id")), ["bucket", "id"], "left_anti")
+            left = left.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("lab", F.coalesce("root", "id")).drop("root")
+            left = cut(left, "labelled")
+            open_ = cut(left.groupBy("bucket").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo < hi").select("bucket"), "open")
+            drop_cut(lab, hub)
             if open_.isEmpty():
-                drop_cut(every, open_)
+                drop_cut(left, open_)
                 break
-            lab = cut(every.join(open_.select("bucket", "lo"), "bucket"), "labelled")
-            drop_cut(every, open_)
-            pick = lab.where("lab <> lo") if k < rounds else lab
-        hubs = lab
+            lab = cut(left.join(open_, "bucket"), "labelled")
+            drop_cut(left, open_)
         if k < rounds:
-            hub = cut(pick.groupBy("bucket").agg(F.min("id").alias("id")), "hub")
-            hubs = cut(lab.join(hub, ["bucket", "id"]).dropDuplicates(["bucket", "id"]), "hubs")
-            spent += [hub, hubs]
-        once = "r.id < l.id" if k == rounds else "r.id <> l.id"
-        pairs = lab.alias("l").join(hubs.alias("r"), F.expr(f"l.bucket = r.bucket and {once} and l.lab <> r.lab and ({keep})"))
+            best = F.max(F.struct("degree", (-F.col("id")).alias("low"), "lab", *cols))
+            hub = cut(lab.groupBy("bucket").agg(best.alias("hub")), "hub")
+            pairs = lab.alias("l").join(hub.select("bucket", "hub.lab", *[F.col(f"hub.{c}") for c in post.columns if c != "bucket"]).alias("r"), F.expr(f"l.bucket = r.bucket and l.lab <> r.lab and ({keep})"))
+        else:
+            rich = cut(sketch(lab), "rich") if sketch else lab
+            pairs = rich.alias("l").join(rich.alias("r"), F.expr(f"l.bucket = r.bucket and l.id < r.id and l.lab <> r.lab and ({keep}) and ({near})"))
         pairs = cut(pairs.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b")).distinct(), "pairs")
         found = cut(verify(pairs).select("a", "b"), "links")
         links = found if comp is None else comp.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(found)
-        comp = components(links)
-        drop_cut(pairs, found, lab, *spent)
-        spent = []
-    drop_cut(live)
+        old, comp = comp, components(links)
+        drop_cut(pairs, found, old)
+        if k == rounds:
+            drop_cut(lab, *[rich] * (rich is not lab))
     return comp

@@ -73,6 +73,34 @@ def char_shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.
     return runs(_TABLE[data], start[at], ends[at + width]), first
 
 
+def table_of(data: np.ndarray) -> np.ndarray:
+    """Random value of each byte, for runs."""
+    return _TABLE[data]
+
+
+
+
+
+def line_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number within it, first byte and byte after the last of each line that has text, without white space at its ends."""
+    feeds = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate([bounds[:-1], feeds + 1]), kind="stable")
+    # texts and feeds in one order: a feed that ends a text is followed by that text's last, empty line, then by the next text
+    first = np.searchsorted(feeds, bounds[:-1]) + np.arange(len(bounds) - 1)
+    owner = np.zeros(len(starts), np.int64)
+    np.add.at(owner, first[1:], 1)
+    owner = np.cumsum(owner)
+    ends = np.empty(len(starts), np.int64)
+    last = np.append(first[1:], len(starts)) - 1
+    ends[:-1] = starts[1:] - 1
+    ends[last] = bounds[1:]
+    text = np.flatnonzero(~_SPACE[data])
+    i, j = np.searchsorted(text, starts), np.searchsorted(text, ends)
+    has = j > i
+    number = np.arange(len(starts)) - first[owner]
+    return owner[has], number[has], text[i[has]], text[j[has] - 1] + 1
+
+
 def raw(col: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and byte bounds of a column of texts without nulls."""
     if not len(col):

@@ -17,8 +17,8 @@ when 100 * intersection >= percent * union.
 
 Null, empty and white-space texts have no shingle and link with nothing. A row
 with a null id links with nothing and gets a null component. Repeated rows give
-as many result rows; ids are expected to have one text each. Columns other than
-doc_id and text are ignored. An empty table gives an empty result.
+as many result rows; rows that repeat an id with other texts are documents of their own.
+Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, link_buckets, only, small_batches
+from .common import cut, drop_cut, link_buckets, small_batches, split_by
 from .hashing import mix, release, runs, signed, words
 
 CELLS = 1 << 18
@@ -91,10 +91,10 @@ def _prefixes(width: int, percent: int, weight):
                 odd.append(np.packbits(parity.astype(np.uint8)).view(_U))
                 order = np.lexsort((x, cells[(x % _U(CELLS)).astype(np.int64)]))[:keep]
                 prefix.append(x[order])
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            ids, rows = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "row"))
             yield pa.record_batch(
-                [ids, pa.array(size, pa.int64()), pa.array(signed(np.array(f1, _U))), pa.array(signed(np.array(f2, _U))), _lists(prefix), _lists(odd)],
-                ["doc_id", "size", "f1", "f2", "prefix", "odd"],
+                [ids, rows, pa.array(size, pa.int64()), pa.array(signed(np.array(f1, _U))), pa.array(signed(np.array(f2, _U))), _lists(prefix), _lists(odd)],
+                ["doc_id", "row", "size", "f1", "f2", "prefix", "odd"],
             )
         release()
 
@@ -132,56 +132,61 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     counts = total.toArrow()  # at most CELLS rows
     weight[counts["cell"].to_numpy()] = counts["n"].to_numpy()
     shared = spark.sparkContext.broadcast(weight)
-
-    sets = cut(
-        docs.mapInArrow(_prefixes(width, percent, shared), "doc_id long, size long, f1 long, f2 long, prefix array<long>, odd array<long>"),
-        "prefixes",
-    )
-    classes = cut(
-        sets.where("size > 0 and doc_id is not null").groupBy("f1", "f2", "size").agg(F.min("doc_id").alias("rep")), "classes"
-    )
+    keyed = docs.withColumn("row", F.xxhash64("text"))
+    kinds = "doc_id long, row long, size long, f1 long, f2 long, prefix array<long>, odd array<long>"
+    sets = cut(keyed.mapInArrow(_prefixes(width, percent, shared), kinds), "prefixes")
+    shared.destroy()
+
+    # A class is told by its fingerprint f1, which is its vertex; one of its rows stands for its text.
+    some = sets.where("size > 0 and doc_id is not null")
+    classes = cut(some.groupBy("f1", "f2", "size").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "row")).alias("first")), "classes")
     # 9 of 10 is the least ratio of two different sets that can reach 0.9: below that size only equal sets link.
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
-    wide = sets.where(f"size >= {least}").join(
-        classes.where(f"size >= {least}").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"
+    wide = classes.where(f"size >= {least}").select("f1", "f2", "first.doc_id", "first.row")
+    members = sets.where(f"size >= {least}").join(wide, ["f1", "f2", "doc_id", "row"], "left_semi").dropDuplicates(["f1", "f2"])
+    members = cut(
+        members.select(F.col("f1").alias("id"), "doc_id", "row", "size", F.xxhash64("prefix", "size").alias("p1"), F.hash("prefix").alias("p2"), "prefix", "odd"),
+        "members",
     )
-    members = wide.dropDuplicates(["doc_id"]).select(
-        F.col("doc_id").alias("id"), "size", F.xxhash64("prefix", "size").alias("p1"), F.hash("prefix").alias("p2"), "prefix", "odd"
-    )
-    members = cut(members, "members")
     groups = cut(members.groupBy("p1", "p2", "size").agg(F.min("id").alias("grp"), F.count("*").alias("n")), "groups")
     member = cut(members.select("id", "p1", "p2", "size").join(groups, ["p1", "p2", "size"]).select("grp", "id", "n"), "member")
+    odd = members.select("id", "size", "odd")
+    drop_cut(groups)
+    apart = lambda x, y: " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(BITS // 64))
+    near = lambda x, y, s, t: f"{100 + percent} * ({apart(x, y)}) <= {100 - percent} * ({s} + {t})"
 
     def overlapping(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of documents whose whole sets meet the threshold."""
-        odd = members.select("id", "size", "odd")
-        near = pairs.join(odd.toDF("a", "s", "p"), "a").join(odd.toDF("b", "t", "q"), "b")
-        apart = F.expr("aggregate(zip_with(p, q, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
-        pairs = cut(near.where((100 + percent) * apart <= (100 - percent) * (F.col("s") + F.col("t"))).select("a", "b"), "near")
-        involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = cut(only(docs, "doc_id", cut(involved, "involved")).dropDuplicates(["doc_id"]), "texts")
-        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-        both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-        found = cut(both.mapInArrow(_overlap(width, percent), "a long, b long"), "overlaps")
-        drop_cut(texts)
+        """Pairs (a, b) of classes whose whole sets meet the threshold."""
+        both = pairs.join(odd.toDF("a", "s", "p"), "a").join(odd.toDF("b", "t", "q").withColumnRenamed("b", "b_"), F.expr(f"b = b_ and {near('p', 'q', 's', 't')}"))
+        pairs = cut(both.select("a", "b"), "near")
+        involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        place = cut(members.select("id", "doc_id", "row").join(involved, "id"), "involved")
+        there = split_by(keyed, "row", place.select("row"))[0].join(place, ["doc_id", "row"])
+        texts = cut(there.dropDuplicates(["id"]).select("id", "text"), "texts")
+        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+        found = cut(both.select("a", "b", "x", "y").mapInArrow(_overlap(width, percent), "a long, b long"), "overlaps")
+        drop_cut(pairs, place, texts)
         return found
 
     # Within a group of several members: the members that link form a unit; any other member is a unit of its own.
     several = cut(member.where("n > 1").select(F.col("grp").alias("bucket"), "id"), "several")
     unit = member.select("grp", F.col("id").alias("unit"), "id")
     if not several.isEmpty():
-        inside = link_buckets(several, overlapping).withColumnRenamed("v", "id")
-        unit = member.join(inside, "id", "left").select("grp", F.coalesce("root", "id").alias("unit"), "id")
+        inside = link_buckets(several, overlapping, sketch=lambda rows: rows.join(odd, "id"), near=near("l.odd", "r.odd", "l.size", "r.size"))
+        unit = member.join(inside.withColumnRenamed("v", "id"), "id", "left").select("grp", F.coalesce("root", "id").alias("unit"), "id")
     unit = cut(unit, "units")
+    drop_cut(several, member)
 
     def expanded(pairs: DataFrame) -> DataFrame:
-        """Pairs of units of which some members link."""
-        both = pairs.join(unit.select(F.col("unit").alias("a"), F.col("id").alias("x")), "a")
-        both = both.join(unit.select(F.col("unit").alias("b"), F.col("id").alias("y")), "b")
+        """Pairs of units of which some members link; members meet only if the parities of their sets allow a link."""
+        of = unit.select("unit", "id").join(odd, "id")
+        both = pairs.join(of.toDF("x", "a", "s", "p"), "a").alias("l")
+        both = both.join(of.toDF("y", "b_", "t", "q").alias("r"), F.expr(f"b = b_ and {near('p', 'q', 's', 't')}"))
         both = cut(both.select("a", "b", F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")), "expanded")
-        hit = overlapping(cut(both.select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct(), "members"))
-        hit = hit.select(F.col("a").alias("hi"), F.col("b").alias("lo"))
-        return both.join(hit, ["hi", "lo"], "left_semi").select("a", "b").distinct()
+        hit = overlapping(both.select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct()).toDF("hi", "lo")
+        found = cut(both.join(hit, ["hi", "lo"], "left_semi").select("a", "b").distinct(), "joined")
+        drop_cut(both)
+        return found
 
     post = members.select(F.col("id").alias("grp"), "size", "prefix").join(unit.select("grp", "unit").distinct(), "grp")
     post = post.select(F.posexplode("prefix").alias("pos", "bucket"), F.col("unit").alias("id"), "size").select("bucket", "id", "size", "pos")
@@ -190,10 +195,15 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
         f"100 * least(l.size, r.size) >= {percent} * greatest(l.size, r.size) and "
         f"{100 + percent} * least(l.size - l.pos, r.size - r.pos) >= {percent} * (l.size + r.size)"
     )
-    comp = link_buckets(post, expanded, keep)
-    whole = unit.join(comp.withColumnRenamed("v", "unit"), "unit", "left")
-    whole = whole.select(F.col("id").alias("rep"), F.coalesce("root", "unit").alias("root"))
-    linked = classes.join(whole, "rep", "left").select("f1", "f2", "size", F.coalesce("root", "rep").alias("component_id"))
+    # A unit of one member carries its parities; one of several is left to expanded().
+    alone = unit.groupBy("unit").agg(F.count("*").alias("n")).where("n = 1").select(F.col("unit").alias("id"))
+    sketch = lambda rows: rows.join(alone.join(odd.select("id", "odd"), "id"), "id", "left")
+    comp = link_buckets(post, expanded, keep, sketch=sketch, near=f"(l.odd is null or r.odd is null or {near('l.odd', 'r.odd', 'l.size', 'r.size')})")
+    root = cut(unit.join(comp.withColumnRenamed("v", "unit"), "unit", "left").select(F.col("id").alias("f1"), F.coalesce("root", "unit").alias("root")), "roots")
+    known = cut(classes.join(root, "f1", "left").select("f1", "f2", "size", "rep", F.coalesce("root", "f1").alias("root")), "known")
+    low = known.groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = cut(known.join(low, "root").select("f1", "f2", "size", "component_id"), "components")
+    drop_cut(members, unit, comp, root, known, classes)
     out = sets.select("doc_id", "size", "f1", "f2").join(linked, ["f1", "f2", "size"], "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from karstline.llm import bpe_duckdb, cap_neardup, jaccard_join, line_dedup, ogg_media, packing, pii, quality_knn, quote_chat, substring_dedup
-from karstline.llm.common import components
+from karstline.llm.common import components, link_buckets
 
 D = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -332,9 +332,9 @@ def test_line_kernels():
         assert g == (100 * len(a & b) >= 80 * len(a | b))
     raw = [v.encode() for v in base]
     bounds = np.cumsum([0, *map(len, raw)])
-    has, words = line_dedup._signed_lines(np.frombuffer(b"".join(raw), np.uint8), bounds, 10, 12, 3)
+    has, words = line_dedup._bands(np.frombuffer(b"".join(raw), np.uint8), bounds, 10, 2, 12, 3)
     assert has.tolist() == [len(v) >= 10 for v in base]
-    assert len(words) == 14 and all(len(w) == has.sum() for w in words)
+    assert words.shape == (has.sum(), 12) and set((words & 7).ravel().tolist()) == {2}
 
 
 def test_op3_odd_tables(spark):
@@ -345,6 +345,48 @@ def test_op3_odd_tables(spark):
     assert run([(1, None), (2, ""), (3, "short\nshort")]) == {(1, None, 0), (2, "", 0), (3, "short", 1)}
 
 
+def test_op3_repeated_ids(spark):
+    """Rows of one id with other texts: one line of the component stays, in the row whose text has the smaller hash."""
+    line = "aaa bbb ccc ddd"
+    rows = [(1, f"{line}\nx"), (1, f"{line}\ny"), (2, line), (1, f"{line}\nx")]
+    got = collections.Counter((r.doc_id, r.text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    x, y = collections.Counter({(1, f"{line}\nx"): 2, (1, "y"): 1, (2, ""): 1}), collections.Counter({(1, f"{line}\ny"): 1, (1, "x"): 2, (2, ""): 1})
+    assert got in (x, y)
+
+
+def test_op3_recall(spark):
+    """Planted pairs of lines at a similarity of 0.80 to 0.83."""
+    rng = np.random.default_rng(12)
+    rows, letters = [], list("abcdefghijklmnopqrstuvwxyz ")
+    while len(rows) < 1600:
+        a = "q" + "".join(rng.choice(letters, int(rng.integers(61, 300)))) + "q"
+        b = list(a)
+        x = {a[i : i + 5] for i in range(len(a) - 4)}
+        while True:
+            b[int(rng.integers(1, len(b) - 1))] = "#"
+            y = {"".join(b[i : i + 5]) for i in range(len(b) - 4)}
+            if (j := len(x & y) / len(x | y)) < 0.83:
+                break
+        if j >= 0.8:
+            rows += [(len(rows), a), (len(rows) + 1, "".join(b))]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), widths=line_dedup.WIDTHS)
+    assert out.agg(F.sum("n_removed")).first()[0] >= 0.998 * len(rows) / 2
+
+
+def test_link_buckets_rows(spark):
+    """A bucket of 3,000 members that don't link: what is offered for verification does not grow with its square."""
+    n, seen = 3000, []
+    post = spark.range(n).select(F.lit(1).cast("long").alias("bucket"), "id", F.col("id").alias("v"))
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        return pairs.where("a = b + 1 and b % 100 = 0")
+
+    got = link_buckets(post, verify, sketch=lambda rows: rows.withColumn("w", F.col("v")), near="abs(l.w - r.w) <= 1")
+    assert sum(seen) <= 5 * n
+    assert {(r.v, r.root) for r in got.collect()} == {(i + d, i) for i in range(0, n, 100) for d in (0, 1)}
+
+
 def test_op3_one_character_edits(spark, tmp_path, monkeypatch):
     """Lines of 20 to 130 characters with one inner character changed go; in the query and in the pipeline's stage."""
     import corpus_pipeline as C
