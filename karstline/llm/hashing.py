@@ -66,11 +66,19 @@ def char_shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.
     start = np.flatnonzero((data & 0xC0) != 0x80)
     char = np.searchsorted(start, bounds)
     n = np.diff(char)
-    at = np.flatnonzero(np.arange(width, len(start) + width) <= np.repeat(char[1:], n))
     first = np.zeros(len(bounds), np.int64)
     np.cumsum(np.maximum(n - (width - 1), 0), out=first[1:])
+    if len(start) < width:
+        return np.zeros(0, _U), first
     ends = np.append(start, len(data))
-    return runs(_TABLE[data], start[at], ends[at + width]), first
+    up, down = _pow(_B1, len(data) + 1)
+    total = np.zeros(len(data) + 1, _U)
+    np.cumsum(_TABLE[data] * up[:-1], out=total[1:])
+    # as in runs(), for every run of width characters; then those within one text
+    total, size = total[ends], (ends[width:] - ends[:-width]).astype(_U)
+    every = mix((total[width:] - total[:-width]) * down[start[: len(start) - width + 1]] + size)
+    inside = np.arange(width, len(start) + 1) <= np.repeat(char[1:], n)[: len(start) - width + 1]
+    return every[inside], first
 
 
 def table_of(data: np.ndarray) -> np.ndarray:

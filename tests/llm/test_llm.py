@@ -180,11 +180,16 @@ def test_op6(spark):
     bpe = bpe_duckdb.Bpe(path, P.PATTERN)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
     texts = ["", "a" * 400, "<|endoftext|> x", "\x1c\x85   é😀漢字ſ ½ ²'s I'LL", " \n\n  x\t", "The quick brown fox " * 9] + [r.text for r in spark.read.parquet(f"{D}/documents.parquet").limit(40).collect()]
+    rng = np.random.default_rng(6)
+    texts += ["".join(rng.choice(list("abcdeénr漢"), n)) for n in (700, 1500, 100_000)] + ["ab" * 50_000]
     ids = bpe.encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [enc.encode_ordinary(t) for t in texts]
     assert bpe.decode(ids) == [t.encode() for t in texts]
     df = bpe_duckdb.decode_column(bpe_duckdb.encode_column(spark.createDataFrame(ODD, "doc_id long, text string"), path, P.PATTERN), path, P.PATTERN)
     assert sorted(bytes(r.decoded).decode() for r in df.collect()) == sorted(t or "" for _, t in ODD)
+    assert bpe_duckdb.encode_column(spark.createDataFrame([], "doc_id long, text string, ids int"), path, P.PATTERN).collect() == []
+    words = ["".join(rng.choice(list("abcde"), n)) for n in range(2, 60)]
+    assert [bpe._merge_long(w.encode()) for w in words] == bpe._merge([w.encode() for w in words])
 
 
 def test_op7(docs, texts):
