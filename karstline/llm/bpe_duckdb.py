@@ -1,17 +1,20 @@
 """Byte-level BPE by recursive DuckDB queries, one database a Python worker.
 
 Ranks come from a file in tiktoken's format, whose path is a parameter. Texts are cut
-by the pattern; each match that is no token itself becomes rows (word, position,
-token) of its bytes. A recursive query joins neighbouring rows with the merge table,
-contracts the leftmost pair of least rank of each word, and goes on with the words
+by the pattern; each match that is no token itself becomes rows (place, token) of its bytes,
+the place being word and position in one integer. A recursive query joins neighbouring rows
+with the merge table, contracts the leftmost pair of least rank of each word, and goes on with the words
 that still had one, until none has: the same order of merges as tiktoken's. Decoding
 joins ids with the vocabulary and aggregates the bytes in order of position.
 
 Words go to the query in groups of at most WORD_BYTES bytes. Answers are kept in a
 dictionary of at most CACHE_WORDS words a worker, emptied when full: it saves work and
-has no influence on results. A word of n bytes takes up to n rounds over its rows.
+has no influence on results. A word of n bytes takes up to n rounds over its rows, which
+grows with its square; matches of over LONG bytes therefore contract the same pairs in the same
+order from a heap, one at a time, so a text without any break ends too.
 
-Null and empty texts have no tokens. Ids that are not in the vocabulary raise.
+Null and empty texts have no tokens. Ids that are not in the vocabulary raise. Repeated rows
+give equal rows, empty tables an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +33,24 @@ from .common import small_batches
 
 WORD_BYTES = 1 << 19
 CACHE_WORDS = 800_000
-SHIFT = 1 << 40
+LONG = 4096
 
-MERGE = f"""
-WITH RECURSIVE step(w, pos, id, busy) AS (
-  SELECT w, pos, id, true FROM start
+MERGE = """
+WITH RECURSIVE step(place, id, busy) AS (
+  SELECT place, id, true FROM start
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = best % {SHIFT} THEN best // {SHIFT} ELSE id END, best IS NOT NULL
-  FROM (
-    SELECT w, pos, id, prev, min(m.rank * {SHIFT} + pos) OVER (PARTITION BY w) AS best
-    FROM (
-      SELECT w, pos, id, lead(id) OVER o AS next, lag(pos) OVER o AS prev
-      FROM step WHERE busy WINDOW o AS (PARTITION BY w ORDER BY pos)
-    ) LEFT JOIN merges m ON m.l = id AND m.r = next
-  ) WHERE best IS NULL OR prev IS DISTINCT FROM best % {SHIFT}
+  (WITH neighbours AS (
+     SELECT place, id, lead(id) OVER (ORDER BY place) AS next, lead(place) OVER (ORDER BY place) AS after FROM step WHERE busy),
+   pairs AS MATERIALIZED (
+     SELECT place, n.id, after, rank FROM neighbours n
+     LEFT JOIN merges m ON m.pair = (n.id << 32) + next AND (place >> 32) = (after >> 32)),
+   best AS (
+     SELECT place >> 32 AS word, min((rank << 32) + (place & 4294967295)) AS least, arg_min(after, (rank << 32) + (place & 4294967295)) AS gone
+     FROM pairs GROUP BY word)
+   SELECT place, CASE WHEN (place & 4294967295) = (least & 4294967295) THEN least >> 32 ELSE p.id END, least IS NOT NULL
+   FROM pairs p JOIN best ON place >> 32 = word WHERE gone IS DISTINCT FROM place)
 )
-SELECT w, list(id ORDER BY pos) AS ids FROM step WHERE NOT busy GROUP BY w ORDER BY w
+SELECT place >> 32 AS word, list(id ORDER BY place) AS ids FROM step WHERE NOT busy GROUP BY word ORDER BY word
 """
 
 DECODE = """
@@ -66,17 +72,15 @@ class Bpe:
         self.find = regex.compile(pattern).findall
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.words: dict[str, bytes] = {}
-        left, right, rank = [], [], []
+        self.pairs: dict[int, int] = {}
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
-                    left.append(a)
-                    right.append(b)
-                    rank.append(r)
+                    self.pairs[(a << 32) + b] = r
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         as_table = lambda **c: pa.table({k: pa.array(v) for k, v in c.items()})
-        self.db.register("m0", as_table(l=left, r=right, rank=rank))
+        self.db.register("m0", as_table(pair=list(self.pairs), rank=list(self.pairs.values())))
         self.db.register("v0", as_table(id=list(self.ranks.values()), hex=[t.hex() for t in self.ranks]))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m0; CREATE TABLE vocabulary AS SELECT * FROM v0")
         self.size = max(self.ranks.values()) + 1
@@ -85,13 +89,34 @@ class Bpe:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        rows = {"w": np.repeat(np.arange(len(words)), lengths), "pos": np.arange(len(flat)) - first, "id": flat}
-        self.db.register("start", pa.table(rows))
+        place = (np.repeat(np.arange(len(words)), lengths) << 32) + np.arange(len(flat)) - first
+        self.db.register("start", pa.table({"place": place, "id": flat}))
         ids = self.db.sql(MERGE).to_arrow_table()["ids"].combine_chunks()
         self.db.unregister("start")
         values, offs = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
         return [values[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:])]
 
+    def _merge_long(self, word: bytes) -> bytes:
+        """The same contractions, leftmost pair of least rank first, from a heap over linked neighbours."""
+        ids = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda i: self.pairs.get((ids[i] << 32) + ids[after[i]]) if after[i] < n else None
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of the two has been contracted since
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := rank(k)) is not None:
+                    heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
     def _learn(self, new: set[str]) -> None:
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
@@ -101,6 +126,9 @@ class Bpe:
             if (r := self.ranks.get(raw)) is not None:
                 self.words[word] = r.to_bytes(4, "little")
                 continue
+            if len(raw) > LONG:
+                self.words[word] = self._merge_long(raw)
+                continue
             group.append((word, raw))
             size += len(raw)
             if size >= WORD_BYTES:
