@@ -158,6 +158,11 @@ def to_matrix4(a) -> Column:
     return F.array(*rows, F.array(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)]))
 
 
+def from_matrix4(m: Column) -> Pose:
+    """Pose of a 4 x 4 matrix in rows; its last row is not looked at."""
+    return pose(from_matrix(m), vec(*[m[i][3] for i in range(3)]))
+
+
 def camera_pose(qvec_wxyz: Column, tvec: Column) -> Pose:
     """World-from-camera pose of a stored camera-from-world rotation (w first) and translation."""
     return invert(pose(quat(qvec_wxyz[1], qvec_wxyz[2], qvec_wxyz[3], qvec_wxyz[0]), vec(tvec[0], tvec[1], tvec[2])))

@@ -1,8 +1,7 @@
 """Frame trees and dependency graphs.
 
-Trees go through recursive SQL, which is one plan; in a graph that is no tree a
-recursive query repeats a node once a path, so closures and levels are loops of joins
-whose frontier is deduplicated and written each round.
+All are rounds of joins over a frontier that is deduplicated and written each round;
+a recursive query would repeat a node of a graph once a path. Calling them runs jobs.
 """
 
 from __future__ import annotations
@@ -10,22 +9,88 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir; lineage ends there."""
+    """df as a table in the shared folder of spark.checkpoint.dir; lineage ends there. Only in
+    local mode, where all is one machine, a folder of our own is made if none is set."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="karstline-"))
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a written table that no later plan reads."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ancestors(tree: DataFrame, most_levels: int = 64) -> DataFrame:
+    """frame_id, ancestor_id, up: every frame with each frame above it, in rounds that climb one level."""
+    edge = tree.where("parent_id is not null").select("frame_id", "parent_id")
+    step = written(edge.select("frame_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("up")))
+    out = step
+    for up in range(2, most_levels + 2):
+        above = edge.select(F.col("frame_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
+        step = written(step.join(above, "ancestor_id").select("frame_id", F.col("next").alias("ancestor_id"), F.lit(up).alias("up")))
+        if step.isEmpty():
+            return out
+        out = out.unionByName(step)
+    raise ValueError(f"deeper than {most_levels} levels, or a cycle")
+
+
+def refused_frames(known: DataFrame, batch: DataFrame) -> DataFrame:
+    """frame_id, error of the frames of a batch that can't be added: 'exists' if the id is known or comes twice, else
+    'parent_not_found' if the parent is neither known nor in the batch."""
+    ids = known.select("frame_id")
+    twice = batch.groupBy("frame_id").agg(F.count("*").alias("__n"))
+    have = ids.unionByName(batch.select("frame_id")).distinct().select(F.col("frame_id").alias("parent_id"), F.lit(True).alias("__parent"))
+    out = batch.join(ids.distinct().withColumn("__hit", F.lit(True)), "frame_id", "left").join(twice, "frame_id").join(have, "parent_id", "left")
+    error = F.when(F.col("__hit") | (F.col("__n") > 1), "exists").when(F.col("parent_id").isNotNull() & F.col("__parent").isNull(), "parent_not_found")
+    return out.select("frame_id", error.alias("error")).where("error is not null")
+
+
+def frame_problems(tree: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """frame_id, problem of frames that no chain of parents leads to a root: 'dangling' if the chain ends at an
+    unknown parent, 'cycle' if it never ends. Rounds by pointer doubling, so a chain of n frames takes log n of them."""
+    ids = tree.select(F.col("frame_id").alias("up"), F.lit(True).alias("__known"))
+    link = tree.select("frame_id", F.col("parent_id").alias("up")).join(ids, "up", "left")
+    end = F.when(F.col("up").isNull(), "root").when(F.col("__known").isNull(), "dangling")
+    state = written(link.select("frame_id", "up", end.alias("end")))
+    left = None
+    for _ in range(most_rounds):
+        n = state.where("end is null").count()
+        if not n or n == left:
+            # as many unsettled frames as before: their chains only go round
+            return state.select("frame_id", F.coalesce("end", F.lit("cycle")).alias("problem")).where("problem <> 'root'")
+        left = n
+        above = state.select(F.col("frame_id").alias("up"), F.col("up").alias("up2"), F.col("end").alias("end2"))
+        new = written(state.join(above, "up", "left").select("frame_id", F.coalesce("up2", "up").alias("up"), F.coalesce("end", "end2").alias("end")))
+        forget(state)
+        state = new
+    raise ValueError("too many rounds")
+
+
+def validate_frames(tree: DataFrame) -> DataFrame:
+    """One row (valid, reason): a cycle or a dangling parent comes first, then an empty graph, then the number of roots."""
+    bad = frame_problems(tree).agg((F.count("*") > 0).alias("broken"))
+    n = tree.agg(F.count("*").alias("n"), F.coalesce(F.count_if(F.col("parent_id").isNull()), F.lit(0)).alias("roots"))
+    reason = F.when(F.col("broken"), "cycle").when(F.col("n") == 0, "empty").when(F.col("roots") > 1, "multiple_roots").when(F.col("roots") == 0, "no_root")
+    return n.crossJoin(bad).select(reason.isNull().alias("valid"), reason.alias("reason"))  # one row each
 
 
 def transforms_to_root(tree: DataFrame, most_levels: int = 64) -> DataFrame:
@@ -46,7 +111,7 @@ def transforms_to_root(tree: DataFrame, most_levels: int = 64) -> DataFrame:
     raise ValueError(f"deeper than {most_levels} levels")
 
 
-def frame_transform(spark: SparkSession, to_root: DataFrame, ancestors: DataFrame, pairs: DataFrame) -> DataFrame:
+def frame_transform(to_root: DataFrame, ancestors: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs(frm, dst) with frm_from_dst: identity if equal, known if one is an ancestor of the other, else error 'disconnected'."""
     a = to_root.select(F.col("frame_id").alias("frm"), F.col("pose").alias("pa"))
     b = to_root.select(F.col("frame_id").alias("dst"), F.col("pose").alias("pb"))
@@ -54,38 +119,44 @@ def frame_transform(spark: SparkSession, to_root: DataFrame, ancestors: DataFram
     down = line.select(F.col("x").alias("dst"), F.col("y").alias("frm"), F.lit(True).alias("below"))
     above = line.select(F.col("x").alias("frm"), F.col("y").alias("dst"), F.lit(True).alias("above"))
     out = pairs.join(a, "frm").join(b, "dst").join(down, ["frm", "dst"], "left").join(above, ["frm", "dst"], "left")
-    ok = F.coalesce("below", F.lit(False)) | F.coalesce("above", F.lit(False))
+    ok = (F.col("frm") == F.col("dst")) | F.coalesce("below", F.lit(False)) | F.coalesce("above", F.lit(False))
     rel = g.col(g.compose(g.invert(F.col("pa")), F.col("pb")))
     return out.select("frm", "dst", F.when(ok, rel).alias("pose"), F.when(~ok, "disconnected").alias("error"))
 
 
 def closure(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """node, level: everything reachable from start(node) along edges(parent -> child reversed: child depends on parent), each node once at its least level."""
-    seen = written(start.select("node").distinct().withColumn("level", F.lit(0)))
-    front = seen
+    """node, level: everything that start(node) depends on along edges(parent, child), each node once at its least level.
+    A round writes its frontier alone; what was seen is the union of the frontiers."""
+    front = written(start.select("node").distinct().withColumn("level", F.lit(0)))
+    seen = front
     for level in range(1, most_rounds + 1):
         nxt = edges.join(front.select(F.col("node").alias("child")), "child").select(F.col("parent").alias("node")).distinct()
         front = written(nxt.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             return seen
-        seen = written(seen.unionByName(front))
+        seen = seen.unionByName(front)
     raise ValueError("too many rounds")
 
 
 def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, level: the longest path from a node without parents; nodes on or behind a cycle have no level.
 
-    Kahn's algorithm by rounds: a node gets its level when all its parents have one.
+    Kahn's algorithm by rounds: one table a level, the nodes not yet placed with the number of
+    parents they wait for, from which the children of the nodes just placed take off their share.
     """
-    left, wait = nodes.select("node").distinct(), edges.select("parent", "child").distinct()
+    edges = written(edges.select("parent", "child").distinct())
+    n = edges.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("wait"))
+    wait = written(nodes.select("node").distinct().join(n, "node", "left").withColumn("wait", F.coalesce("wait", F.lit(0))))
     out, level = None, 0
     while True:
-        ready = written(left.join(wait.select(F.col("child").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
+        ready = wait.where("wait = 0")
         if ready.isEmpty():
-            return out if out is not None else ready
-        out = ready if out is None else out.unionByName(ready)
-        left = written(left.join(ready.select("node"), "node", "left_anti"))
-        wait = written(wait.join(ready.select(F.col("node").alias("parent")), "parent", "left_anti"))
+            return out if out is not None else ready.select("node", F.lit(0).alias("level"))
+        placed = ready.select("node", F.lit(level).alias("level"))
+        out = placed if out is None else out.unionByName(placed)
+        less = edges.join(ready.select(F.col("node").alias("parent")), "parent").groupBy(F.col("child").alias("node")).agg(F.count("*").alias("less"))
+        rest = wait.where("wait > 0").join(less, "node", "left")
+        wait = written(rest.select("node", (F.col("wait") - F.coalesce("less", F.lit(0))).alias("wait")))
         level += 1
 
 

@@ -9,7 +9,7 @@ FRAME_ORDER = ["timestamp_ns", "sequence_index", "frame_id"]
 
 
 def in_range(df: DataFrame, start: int, end: int, ts: str = "timestamp_ns") -> DataFrame:
-    """Half open: start <= ts < end; both comparisons reach the scan."""
+    """Half open: start <= ts < end. Both comparisons reach the scan where ts is a stored column; on a computed one they are a filter of rows."""
     return df.where((F.col(ts) >= start) & (F.col(ts) < end))
 
 

@@ -21,9 +21,13 @@ def keep_last(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def artifact_index(writes: DataFrame) -> DataFrame:
-    """Replace on id or content hash: a row stays if no later write has its id or its hash."""
-    return keep_last(keep_last(writes, ["artifact_id"]), ["content_hash"])
+def artifact_index(writes: DataFrame, seq: str = "seq") -> DataFrame:
+    """Replace on id or content hash: a row stays if no later write has its id or its hash. Both are
+    judged on the whole log, since a write that is itself replaced has replaced others before."""
+    last = writes.withColumn("__i", F.max(seq).over(Window.partitionBy("artifact_id"))).where(F.col(seq) == F.col("__i"))
+    # A row that is its id's last is dropped if any write, kept or not, has its hash later.
+    top = writes.groupBy("content_hash").agg(F.max(seq).alias("__h"))
+    return last.join(top, "content_hash").where(F.col(seq) == F.col("__h")).select(*writes.columns)
 
 
 def verify(files: DataFrame, name: Column) -> DataFrame:
@@ -31,13 +35,33 @@ def verify(files: DataFrame, name: Column) -> DataFrame:
     return files.where(F.sha2("content", 256) != name)
 
 
+def quarantine(index: DataFrame, corrupt: DataFrame, key: str = "content_hash") -> DataFrame:
+    """The index with validation_status 'degraded' where the payload failed verify()."""
+    hit = corrupt.select(key).distinct().withColumn("__hit", F.lit(True))
+    status = F.when(F.col("__hit"), "degraded").otherwise(F.col("validation_status"))
+    return index.join(hit, key, "left").withColumn("validation_status", status).drop("__hit").select(*index.columns)
+
+
+def put_instance(stored: DataFrame, asked: DataFrame, key: str = "content_hash") -> tuple[DataFrame, DataFrame]:
+    """(new instances of payloads that are stored, requests refused because theirs is missing)."""
+    have = stored.select(key).distinct()
+    return asked.join(have, key, "left_semi"), asked.join(have, key, "left_anti")
+
+
+def dangling(manifests: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Manifests that the index does not hold."""
+    return unreferenced(manifests, index, key)
+
+
 def unreferenced(stored: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """What a collection would delete: stored keys that the index does not hold."""
     return stored.join(index.select(key).distinct(), key, "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Next snapshot: rows of new replace rows of old by keys; columns in keep retain the old value where there is one."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | None = None, seq: str | None = None) -> DataFrame:
+    """Next snapshot: rows of new replace rows of old by keys; columns in keep retain the old value where there is one.
+    Of several new rows of a key the last by seq counts; without seq, the greatest by all columns."""
+    new = _once(new, keys, seq)
     stay = old.join(new.select(*keys), keys, "left_anti")
     if keep:
         prior = old.select(*keys, *[F.col(c).alias(f"__{c}") for c in keep])
@@ -45,6 +69,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | No
     return stay.unionByName(new.select(*old.columns))
 
 
+def _once(df: DataFrame, keys: list[str], seq: str | None) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(*([F.col(seq).alias("__seq")] if seq else []), *rest)
+    return df.groupBy(*keys).agg(F.max(order).alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest]) if rest else df.distinct()
+
+
 def append_unique(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(next snapshot, refused rows): a key that is there already, or twice in new, is refused."""
     w = Window.partitionBy(*keys)
@@ -53,9 +83,11 @@ def append_unique(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[Data
     return old.unionByName(marked.where(~bad).select(*old.columns)), marked.where(bad).select(*new.columns)
 
 
-def update_fields(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Set the columns of changes; '' clears a value. Unknown keys change nothing (see missing)."""
-    names = [c for c in changes.columns if c != key]
+def update_fields(old: DataFrame, changes: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+    """Set the columns of changes; '' clears a value. Unknown keys change nothing (see missing). Of several
+    changes of a key the last by seq counts; without seq, the greatest by all columns."""
+    changes = _once(changes, [key], seq)
+    names = [c for c in changes.columns if c not in (key, seq)]
     hit = changes.select(key, *[F.col(c).alias(f"__{c}") for c in names]).withColumn("__hit", F.lit(True))
     out = old.join(hit, key, "left")
     return out.withColumns({c: F.when(F.col("__hit"), F.nullif(F.col(f"__{c}"), F.lit(""))).otherwise(F.col(c)) for c in names}).select(*old.columns)
@@ -65,12 +97,25 @@ def missing(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return keys.join(table.select(key).distinct(), key, "left_anti")
 
 
-def new_scene_versions(scenes: DataFrame, versions: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(versions, scenes) after one new version for each request(scene_id, version_id, created_at_ns): its parent is the scene's current one, which then moves."""
-    fresh = requests.join(scenes.select("scene_id", F.col("current_version").alias("parent_version")), "scene_id")
-    moved = scenes.join(requests.select("scene_id", F.col("version_id").alias("__v")), "scene_id", "left")
-    moved = moved.withColumn("current_version", F.coalesce("__v", "current_version")).drop("__v")
-    return versions.unionByName(fresh.select(*versions.columns)), moved
+def new_scene_versions(scenes: DataFrame, versions: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(versions, scenes, refused) after one new version for each request(scene_id, version_id, created_at_ns), in
+    order of time, then version: the parent is the scene's current one, which then moves. Requests for unknown scenes are refused."""
+    w = Window.partitionBy("scene_id").orderBy("created_at_ns", "version_id")
+    before = F.lag("version_id").over(w)
+    known = requests.join(scenes.select("scene_id", F.col("current_version").alias("__now")), "scene_id")
+    fresh = known.withColumn("parent_version", F.coalesce(before, F.col("__now")))
+    last = known.groupBy("scene_id").agg(F.max(F.struct("created_at_ns", "version_id")).alias("__v"))
+    moved = scenes.join(last, "scene_id", "left").withColumn("current_version", F.coalesce("__v.version_id", "current_version"))
+    refused = requests.join(scenes.select("scene_id"), "scene_id", "left_anti")
+    return versions.unionByName(fresh.select(*versions.columns)), moved.select(*scenes.columns), refused
+
+
+def find_or_create_scenes(scenes: DataFrame, projects: DataFrame, new_id: Column) -> tuple[DataFrame, DataFrame]:
+    """(scene_id of each project, rows to append): its open scene with the smallest id, else a new one."""
+    have = scenes.where("status = 'open'").groupBy("project_id").agg(F.min("scene_id").alias("__s"))
+    out = projects.join(have, "project_id", "left")
+    every = out.select("project_id", F.coalesce("__s", new_id).alias("scene_id"), F.col("__s").isNull().alias("created"))
+    return every, every.where("created").select("scene_id", "project_id", F.lit("open").alias("status"))
 
 
 def manifest_json(df: DataFrame) -> Column:

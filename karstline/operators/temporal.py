@@ -95,3 +95,17 @@ def event_time(sample: Column, fixed_latency: Column) -> Column:
 
 def synchronized(source: Column, offset: Column) -> Column:
     return source + offset
+
+
+def negated(offset: Column) -> Column:
+    return -offset
+
+
+def composed(a: Column, b: Column) -> Column:
+    """The offset that applies a, then b."""
+    return a + b
+
+
+def duration(seconds: int = 0, milliseconds: int = 0, microseconds: int = 0, nanoseconds: int = 0) -> Column:
+    """A duration in nanoseconds."""
+    return F.lit(((seconds * 1000 + milliseconds) * 1000 + microseconds) * 1000 + nanoseconds).cast("long")

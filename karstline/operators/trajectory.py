@@ -37,3 +37,11 @@ def corrections(before: DataFrame, after: DataFrame, key: list[str], axes: list[
 
 def error_reduction(results: DataFrame) -> DataFrame:
     return results.withColumn("error_reduction", F.when(F.col("initial_error") != 0, (F.col("initial_error") - F.col("final_error")) / F.col("initial_error")))
+
+
+def uncertainty(nodes: DataFrame, closures: DataFrame, key: str, order: list[str], axes: list[str]) -> DataFrame:
+    """key, mean and largest uncertainty of its nodes, and its loop closures per unit of distance (null where it does not move)."""
+    u = nodes.groupBy(key).agg(F.avg("uncertainty").alias("mean_uncertainty"), F.max("uncertainty").alias("max_uncertainty"))
+    n = closures.groupBy(key).agg(F.count("*").alias("__n"))
+    out = u.join(path_length(nodes, key, order, axes).select(key, "total_distance"), key).join(n, key, "left")
+    return out.withColumn("closure_density", F.coalesce("__n", F.lit(0)) / F.nullif("total_distance", F.lit(0.0))).drop("__n", "total_distance")

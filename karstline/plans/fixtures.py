@@ -17,7 +17,8 @@ def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def nanos(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp")) * 1000
+    """Nanoseconds of a time without zone, read as UTC whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")) * 1000
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:

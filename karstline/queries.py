@@ -186,12 +186,12 @@ def update_metadata(spark, d):
     return store.update_fields(a, new, "artifact_id")
 
 
-@query("""SELECT scene_id, version_id, parent_version FROM (SELECT n_nationkey AS scene_id, n_nationkey AS version_id, NULL AS parent_version FROM nation UNION ALL
-SELECT n_nationkey, n_nationkey + 1000, n_nationkey FROM nation WHERE n_nationkey % 2 = 0)""")
+@query("""SELECT n_nationkey AS scene_id, n_nationkey AS version_id, NULL AS parent_version FROM nation UNION ALL
+SELECT c_nationkey, c_custkey + 1000, coalesce(lag(c_custkey + 1000) OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 7, c_custkey), c_nationkey) FROM customer WHERE c_nationkey % 2 = 0""")
 def scene_versions_next(spark, d):
     n = fx.raw(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("scene_id"))
     versions = n.select("scene_id", F.col("scene_id").alias("version_id"), F.lit(None).cast("long").alias("parent_version"))
-    asked = n.where("scene_id % 2 = 0").withColumn("version_id", F.col("scene_id") + 1000)
+    asked = fx.raw(spark, d, "customer").where("c_nationkey % 2 = 0").selectExpr("cast(c_nationkey as long) AS scene_id", "cast(c_custkey + 1000 as long) AS version_id", "cast(c_custkey % 7 as long) AS created_at_ns")
     return store.new_scene_versions(n.withColumn("current_version", F.col("scene_id")), versions, asked)[0]
 
 
@@ -205,7 +205,16 @@ def task_keys(spark, d):
     )
 
 
-@query()
+def uuid5_sql(name: str) -> str:
+    h = f"sha1(unhex('{ids.NAMESPACE.replace('-', '')}') || encode({name}))"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+_IDS = f""", named AS (SELECT o.observation_id, {uuid5_sql('CAST(o.sensor_id AS VARCHAR)')} || '|' || o.timestamp_ns || '|' || a.content_hash AS n
+FROM observations o JOIN artifacts a ON a.artifact_id = o.artifact_ref) """
+
+
+@query(_IDS + f"SELECT observation_id, {uuid5_sql(chr(39) + 'frame|' + chr(39) + ' || n')} AS frame_uuid, {uuid5_sql(chr(39) + 'observation|' + chr(39) + ' || n')} AS observation_uuid FROM named")
 def derived_ids(spark, d):
     sensor = ids.uuid5(F.col("sensor_id").cast("string"))
     o = scene.resolve_hashes(fx.observations(spark, d), fx.artifacts(spark, d)).where("failure is null")
@@ -232,10 +241,10 @@ def frame_graph_to_root(spark, d):
 
 
 @query(_TO_ROOT + """SELECT s.frame_id, round(tx + (1 - 2 * s.qz * s.qz) * 1 - 2 * s.qz * s.qw * 2, 5) AS x, round(ty + 2 * s.qz * s.qw * 1 + (1 - 2 * s.qz * s.qz) * 2, 5) AS y,
-3.0 AS z, 0.0 AS back FROM up s WHERE depth = 3""")
+3.0 AS z, 0.0 AS back FROM up s""")
 def point_in_root(spark, d):
     p = g.vec(1, 2, 3)
-    r = graph.transforms_to_root(_tree(spark, d)).where("depth = 3").withColumn("p", g.col(g.transform_point(F.col("pose"), p)))
+    r = graph.transforms_to_root(_tree(spark, d)).withColumn("p", g.col(g.transform_point(F.col("pose"), p)))
     there = g.transform_point(g.invert(F.col("pose")), F.col("p"))
     miss = F.abs(there.x - 1) + F.abs(there.y - 2) + F.abs(there.z - 3)
     return r.select("frame_id", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"), F.round("p.z", 5).alias("z"), F.round(miss, 6).alias("back"))
@@ -345,7 +354,18 @@ def quality_verdicts(spark, d):
     return s.select("run", F.round("score", 4).alias("score"), scoring.verdict(F.col("score"), F.col("t.pass"), F.col("t.warn")).alias("verdict"))
 
 
-@query()
+# splitmix64 in 128-bit integers, modulo 2**64
+_DRAWS = """, seed AS (SELECT artifact_id, ('0x' || substr(sha256(content_hash || '|quality|{}|' || least(mime_type, content_hash) || '|' || greatest(mime_type, content_hash)), 1, 16))::UBIGINT AS s FROM artifacts),
+z0 AS (SELECT artifact_id, i, ((s::UHUGEINT + 11400714819323198485::UHUGEINT * i::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM seed, range(1, 6) r(i)),
+z1 AS (SELECT artifact_id, i, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM z0),
+z2 AS (SELECT artifact_id, i, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM z1),
+u AS (SELECT artifact_id, i, (xor(z, z >> 31) >> 11)::DOUBLE / 9007199254740992::DOUBLE AS u FROM z2),
+w AS (SELECT artifact_id, max(u) FILTER (i = 1) AS a, max(u) FILTER (i = 2) AS b, max(u) FILTER (i = 3) AS c, max(u) FILTER (i = 4) AS e, max(u) FILTER (i = 5) AS f FROM u GROUP BY artifact_id)
+SELECT artifact_id, 0.2::DOUBLE + 1.3::DOUBLE * a AS rmse_px, 0.7::DOUBLE * (0.2::DOUBLE + 1.3::DOUBLE * a) AS mean_error_px, 80 + 20 * b AS completeness_pct, 0.2::DOUBLE + 0.3::DOUBLE * c AS baseline_ratio,
+30000 + 30000 * e AS point_count, 0.5::DOUBLE + 0.5::DOUBLE * f AS mean_confidence FROM w"""
+
+
+@query(_DRAWS)
 def mock_quality_reports(spark, d):
     seed = ids.run_seed(F.col("content_hash"), F.lit("quality"), F.lit("{}"), F.array("mime_type", "content_hash"))
     return fx.artifacts(spark, d).select("artifact_id", scoring.mock_metrics(seed).alias("m")).select("artifact_id", "m.*")

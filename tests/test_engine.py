@@ -7,7 +7,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from karstline import queries as K
+from karstline import queries_more as K
 from karstline.functions import geometry as g
 from karstline.functions import identity as ids
 from karstline.functions import scoring
@@ -111,3 +111,33 @@ def test_stream_dedup(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.id for r in spark.table("seen").collect()) == [1, 2]
+
+
+def test_mutations_on_repeated_keys(spark):
+    from karstline.operators import store
+
+    log = spark.createDataFrame([("A", "h1", 1), ("B", "h1", 2), ("B", "h2", 3)], "artifact_id string, content_hash string, seq long")
+    assert [tuple(r) for r in store.artifact_index(log).collect()] == [("B", "h2", 3)]
+    old, new = (spark.createDataFrame(x, "k long, v string") for x in ([(1, "a"), (2, "b")], [(1, "c"), (1, "d"), (3, "e"), (3, "e")]))
+    assert sorted(tuple(r) for r in store.upsert(old, new, ["k"]).collect()) == [(1, "d"), (2, "b"), (3, "e")]
+    assert sorted(tuple(r) for r in store.update_fields(old, new, "k").collect()) == [(1, "d"), (2, "b")]
+    scenes = spark.createDataFrame([(1, 10)], "scene_id long, current_version long")
+    versions = spark.createDataFrame([(1, 10, None)], "scene_id long, version_id long, parent_version long")
+    asked = spark.createDataFrame([(1, 12, 6), (1, 11, 5), (9, 13, 7)], "scene_id long, version_id long, created_at_ns long")
+    v, s, refused = store.new_scene_versions(scenes, versions, asked)
+    assert sorted(tuple(r) for r in v.collect()) == [(1, 10, None), (1, 11, 10), (1, 12, 11)]
+    assert [tuple(r) for r in s.collect()] == [(1, 12)] and [r.scene_id for r in refused.collect()] == [9]
+
+
+def test_feature_and_graph_documents(spark):
+    from karstline.operators import documents
+
+    one = spark.range(1).select(F.array(F.struct(F.lit(1.0).alias("x"))).alias("k"), F.array(F.array(F.lit(0.5))).alias("d"))
+    assert one.select(documents.feature_json(F.col("k"), F.col("d"))).first()[0] == '{"descriptors":[[0.5]],"keypoints":[{"x":1.0}]}'
+    with pytest.raises(Exception, match="descriptors"):
+        one.select(documents.feature_json(F.col("k"), F.array().cast("array<array<double>>"))).collect()
+    tasks = spark.createDataFrame([(7, 2, "pending"), (7, 1, "failed"), (8, 3, "running")], "job_id long, task_id long, status string")
+    edges = spark.createDataFrame([(1, 2), (1, 2)], "parent long, child long")
+    t, e = documents.read_task_graph(documents.task_graph_json(tasks, edges))
+    assert sorted(tuple(r) for r in t.collect()) == [(7, 1, "failed"), (7, 2, "pending"), (8, 3, "running")]
+    assert [tuple(r) for r in e.collect()] == [(7, 1, 2)]
