@@ -17,8 +17,10 @@ All passages are aggregated by their smallest id before any row is joined, so a
 passage in a third of all documents makes one row a document, never a pair.
 
 Null, empty and short texts have no windows and lose nothing. Rows with a null id
-keep all their words and take none from others. Rows that repeat an id give a
-result each; windows of the same id never remove each other.
+keep all their words and take none from others. Rows that repeat an id, with the same or
+another text, give a result each: a row is told by id and hash of its text. Windows of the same id
+never remove each other. Very long texts are read whole; empty tables give an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, split_by
+from .common import cut, drop_cut, small_batches, split_by
 from .hashing import release, runs, signed, words
 
 _U = np.uint64
@@ -65,7 +67,7 @@ def _anchors(length: int, period: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            ids, keys = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
             for i, j, w in words(batch):
                 n = np.diff(w.first)
                 rows = np.repeat(np.arange(i, j), n)
@@ -74,9 +76,9 @@ def _anchors(length: int, period: int):
                 ok = cover[pos % period] & (pos + width <= np.repeat(n, n)) & (np.repeat(n, n) >= length)
                 at = np.flatnonzero(ok) + w.first[0]
                 hashes = signed(runs(w.hash, at, at + width))
-                yield pa.record_batch(
-                    [pa.array(hashes), pa.array(ids[rows[ok]].astype(np.int64)), pa.array(pos[ok].astype(np.int32))], ["h", "doc_id", "pos"]
-                )
+                own = rows[ok]
+                cols = [hashes, ids[own].astype(np.int64), keys[own].astype(np.int64), pos[ok].astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in cols], ["h", "doc_id", "row", "pos"])
         release()
 
     return run
@@ -95,9 +97,9 @@ def _windows(length: int, period: int):
 
     def run(batches):
         for batch in batches:
-            ids, offer, ask = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "offer", "ask"))
+            ids, keys, offer, ask = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "row", "offer", "ask"))
             for i, j, w in words(batch):
-                found, owner, kinds, place = [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int32)]
+                found, owner, key, kinds, place = [np.zeros(0, np.int64)], [], [], [], [np.zeros(0, np.int32)]
                 for row in range(i, j):
                     a, n = w.first[row - i], w.first[row - i + 1] - w.first[row - i]
                     for kind, col in enumerate((offer, ask)):
@@ -106,12 +108,13 @@ def _windows(length: int, period: int):
                             found.append(pos + a)
                             place.append(pos.astype(np.int32))
                             owner.append(np.full(len(pos), ids[row].as_py(), np.int64))
+                            key.append(np.full(len(pos), keys[row].as_py(), np.int64))
                             kinds.append(np.full(len(pos), kind, np.int8))
                 if owner:
                     s = np.concatenate(found)
                     h1, h2 = runs(w.hash, s, s + length), runs(w.hash, s, s + length, _SECOND)
-                    cols = [signed(h1), (signed(h2) >> 32).astype(np.int32), np.concatenate(owner), np.concatenate(place), np.concatenate(kinds)]
-                    yield pa.record_batch([pa.array(x) for x in cols], ["h1", "h2", "doc_id", "pos", "kind"])
+                    cols = [signed(h1), (signed(h2) >> 32).astype(np.int32), np.concatenate(owner), np.concatenate(key), np.concatenate(place), np.concatenate(kinds)]
+                    yield pa.record_batch([pa.array(x) for x in cols], ["h1", "h2", "doc_id", "row", "pos", "kind"])
         release()
 
     return run
@@ -150,33 +153,34 @@ def _kept(length: int):
 
 
 def repeated_starts(docs: DataFrame, length: int = 50, period: int = 31) -> DataFrame:
-    """doc_id, starts: the windows of each document that also start in a document with a smaller id."""
+    """doc_id, row, starts: the windows of each row of docs(doc_id, row, text) that also start in a document with a smaller id."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.where("doc_id is not null and text is not null")
-    anchors = docs.mapInArrow(_anchors(length, period), "h long, doc_id long, pos int")
+    key = ["doc_id", "row"]
+    docs = docs.where("doc_id is not null and text is not null").select(*key, "text")
+    anchors = docs.mapInArrow(_anchors(length, period), "h long, doc_id long, row long, pos int")
     shared = cut(anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "anchors")
-    mine = anchors.join(shared, "h").groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("hi") > F.col("doc_id"), F.col("pos"))).alias("offer"),
-        F.collect_list(F.when(F.col("lo") < F.col("doc_id"), F.col("pos"))).alias("ask"),
+    mine = anchors.join(shared, "h").groupBy(*key).agg(
+        F.collect_set(F.when(F.col("hi") > F.col("doc_id"), F.col("pos"))).alias("offer"),
+        F.collect_set(F.when(F.col("lo") < F.col("doc_id"), F.col("pos"))).alias("ask"),
     )
     mine = cut(mine, "extend")
-    near, _ = split_by(docs.select("doc_id", "text"), "doc_id", mine.select("doc_id"))
-    win = near.join(mine, "doc_id").mapInArrow(
-        _windows(length, period), "h1 long, h2 int, doc_id long, pos int, kind byte"
-    )
+    near, _ = split_by(docs, "row", mine.select("row"))
+    win = near.join(mine, key).mapInArrow(_windows(length, period), "h1 long, h2 int, doc_id long, row long, pos int, kind byte")
     win = cut(win, "windows")
     first = cut(win.where("kind = 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "offered")
-    asked = win.where("kind = 1").select("h1", "h2", "doc_id", "pos").join(first, ["h1", "h2"]).where("first < doc_id")
-    return cut(asked.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "starts")
+    asked = win.where("kind = 1").select("h1", "h2", *key, "pos").join(first, ["h1", "h2"]).where("first < doc_id")
+    starts = cut(asked.groupBy(*key).agg(F.collect_set("pos").alias("starts")), "starts")
+    drop_cut(shared, mine, win, first)
+    return starts
 
 
 def substring_dedup(docs: DataFrame, length: int = 50, period: int = 31) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: one row per row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
     starts = repeated_starts(docs, length, period)
-    hit, rest = split_by(docs, "doc_id", starts.select("doc_id"))
-    hit = hit.join(starts, "doc_id", "left").select("doc_id", "text", "starts")
-    return hit.unionByName(rest.withColumn("starts", F.lit(None).cast("array<int>"))).mapInArrow(
+    hit, rest = split_by(docs, "row", starts.select("row"))
+    hit = hit.join(starts, ["doc_id", "row"], "left").select("doc_id", "text", "starts")
+    return hit.unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))).mapInArrow(
         _kept(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
