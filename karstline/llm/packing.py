@@ -1,11 +1,10 @@
 """Packing into optimal length buckets.
 
 A document's length is its number of words [^\\x20\\x09-\\x0D]+, at least 1. The global
-histogram of lengths has cells that are exact up to 1024 and have 7 leading bits
-beyond, so it has a few thousand rows whatever the corpus; each cell keeps its count,
-sum and largest length. Dynamic programming over it chooses at most `buckets` upper
-bounds that minimise the total padding, bound by bound; bounds are largest lengths
-of cells, so the padding it minimises is the real one of that choice.
+histogram has one row a distinct length, so no more rows than the longest document has
+words, whatever the corpus. Dynamic programming over it chooses at most `buckets` upper
+bounds that minimise the total padding, bound by bound; the best last cut moves only
+forward with the length, so each layer is solved by halving, not by all pairs of lengths.
 
 Within a bucket, documents are ordered by a hash of id and length, and cut into
 batches of floor(budget / bound) documents, at least 1, so that a padded batch keeps
@@ -14,9 +13,10 @@ steps: each bucket's hash range is cut into chunks of about `chunk` documents th
 ranked alone, and the chunks' counts are summed up before them. No bucket passes
 through one task, and all batches but a bucket's last are full.
 
-Null and empty texts count as length 1 (a batch row can't be empty). Rows that
-repeat count each; with one id and length they are alike and take neighbouring
-places. Empty tables give an empty result. Other columns are ignored.
+Null and empty texts count as length 1 (a batch row can't be empty). Rows that are alike in
+id and length, null ids included, are counted first and numbered, and the number enters
+the hash: a third of all rows with one id spreads like any others. Empty tables give an
+empty result. Very long texts are counted whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+FAR = 1 << 62
+BLOCK = 10_000
+
+
 def optimal_bounds(top: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds that minimise sum(bound - length) over cells sorted by length.
 
@@ -38,18 +42,23 @@ def optimal_bounds(top: np.ndarray, count: np.ndarray, total: np.ndarray, bucket
     n = len(top)
     if not n:
         return []
-    c = np.concatenate([[0], np.cumsum(count)]).astype(np.float64)
-    t = np.concatenate([[0], np.cumsum(total)]).astype(np.float64)
-    pad = top.astype(np.float64) * c[1:] - t[1:]
-    cost, choice = pad.copy(), []
+    c, t = (np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in (count, total))
+    top = np.asarray(top, np.int64)
+    cost, choice = top * c[1:] - t[1:], []
     best_k, best = 0, cost[-1]
     for k in range(1, min(buckets, n)):
-        new, frm = np.full(n, np.inf), np.full(n, -1)
-        for j in range(k, n):
-            i = np.arange(k - 1, j)  # the last bucket holds cells i + 1 .. j
+        new, frm = np.full(n, FAR, np.int64), np.full(n, -1)
+        todo = [(k, n - 1, k - 1, n - 2)]  # cells lo..hi whose best i lies in first..last
+        while todo:
+            lo, hi, first, last = todo.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            i = np.arange(first, min(last, j - 1) + 1)  # the last bucket holds cells i + 1 .. j
             x = cost[i] + top[j] * (c[j + 1] - c[i + 1]) - (t[j + 1] - t[i + 1])
             m = int(np.argmin(x))
             new[j], frm[j] = x[m], i[m]
+            todo += [(lo, j - 1, first, int(i[m])), (j + 1, hi, int(i[m]), last)]
         cost = new
         choice.append(frm)
         if cost[-1] < best:
@@ -61,13 +70,6 @@ def optimal_bounds(top: np.ndarray, count: np.ndarray, total: np.ndarray, bucket
     return bounds[::-1]
 
 
-def _cell(n: str) -> F.Column:
-    """Lengths up to 1024 as they are, above cut to 7 leading bits."""
-    step = F.expr(f"shiftright({n}, greatest(0, cast(floor(log2({n})) as int) - 6))")
-    size = F.expr(f"greatest(0, cast(floor(log2({n})) as int) - 6)")
-    return F.when(F.col(n) <= 1024, F.col(n)).otherwise(F.expr("0") + step * F.pow(F.lit(2.0), size).cast("long"))
-
-
 def pack(docs: DataFrame, budget: int = 8192, buckets: int = 12, chunk: int = 5_000) -> DataFrame:
     """doc_id, n_tokens, bucket, padded_length, batch_id, slot: one row per row of docs(doc_id, text).
 
@@ -78,9 +80,15 @@ def pack(docs: DataFrame, budget: int = 8192, buckets: int = 12, chunk: int = 5_
         F.col("doc_id").cast("long").alias("doc_id"),
         F.greatest(F.lit(1), F.coalesce(words, F.lit(1))).cast("long").alias("n_tokens"),
     )
-    n = cut(n.withColumn("h", F.xxhash64("doc_id", "n_tokens")), "lengths")
-    cells = n.groupBy(_cell("n_tokens").alias("cell")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
-    got = cells.toArrow().sort_by("cell")  # a few thousand rows at most
+    alike = n.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("c"))
+    blocks = alike.select("doc_id", "n_tokens", "c", F.explode(F.expr(f"sequence(0L, (c - 1) div {BLOCK})")).alias("b"))
+    # a block a row, dealt out again before its rows are numbered, so that no task numbers all of one id
+    blocks = blocks.repartition(F.col("doc_id"), F.col("n_tokens"), F.col("b"))
+    number = F.explode(F.expr(f"sequence(b * {BLOCK}L, least(c, (b + 1) * {BLOCK}L) - 1)")).alias("i")
+    n = blocks.select("doc_id", "n_tokens", number)
+    n = cut(n.select("doc_id", "n_tokens", F.xxhash64("doc_id", "n_tokens", "i").alias("h")), "lengths")
+    cells = n.groupBy(F.col("n_tokens").alias("top")).agg(F.count("*").alias("n"))
+    got = cells.withColumn("t", F.col("n") * F.col("top")).toArrow().sort_by("top")  # a row a distinct length
     bounds = optimal_bounds(*(got[c].to_numpy() for c in ("top", "n", "t")), buckets)
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(i)) for i, b in enumerate(bounds)], F.lit(max(0, len(bounds) - 1)))
     bound = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds or [1]]), F.col("bucket") + 1)
