@@ -8,6 +8,10 @@ a span raise or lower its score. Kinds, in order:
 - iban: two letters, two digits, up to 30 more, confirmed by remainder 1 modulo 97.
 - national: a telephone number that starts with 0, of 9 to 15 digits. Nothing in it
   can be verified, so it counts only if context brings its score to 0.5.
+- secret: a word such as token or password, : or =, and a value of 16 characters or more
+  that holds a digit and a letter.
+
+Context is whole words within 32 characters on either side, up to the neighbouring matches of the kind.
 
 Positions are code points: the pieces between matches and the matches, both found by
 the same expression, give them by their lengths. All repetitions are possessive, which
@@ -31,18 +35,21 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "national": r"(?<![0-9+])0[0-9][ ()./0-9-]{6,28}[0-9](?![0-9])",
+    "secret": r"(?i)\b(?:token|secret|passwd|password|api[_-]?key)[\x22']?\s{0,3}[:=]\s{0,3}[\x22']?[A-Z0-9+/_=-]{16,}+",
 }
 BASE = ("email", "ip", "card", "phone")
 #: What a text must hold for a kind to be possible; spares most texts the search.
-HINT = {"email": "instr(text, '@') > 0", "phone": "instr(text, '+') > 0"}
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.95, "national": 0.3}
+HINT = {"email": "instr(text, '@') > 0", "phone": "instr(text, '+') > 0", "secret": "instr(text, '=') > 0 or instr(text, ':') > 0"}
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.95, "national": 0.3, "secret": 0.8}
+_CALL = "phone|telephone|telefon|teléfono|téléphone|tel|call|mobile|handy|móvil|fax|anruf|llama|llame"
 CONTEXT = {
-    "email": "mail|contact|kontakt|correo|courriel",
-    "ip": "\\bip\\b|address|host|server|adresse",
-    "card": "card|visa|credit|karte|carte|tarjeta|pay",
-    "phone": "phone|tel|call|mobile|fax|anruf|llama",
+    "email": "e-?mail|mail|contact|kontakt|correo|courriel",
+    "ip": "ip|address|host|server|adresse",
+    "card": "card|visa|credit|karte|kreditkarte|carte|tarjeta|pay|payment",
+    "phone": _CALL,
     "iban": "iban|account|bank|konto|compte|cuenta",
-    "national": "phone|tel|call|mobile|fax|anruf|llama",
+    "national": _CALL,
+    "secret": "key|auth|login|credentials?",
 }
 AGAINST = "version|isbn|order|invoice|serial|page"
 SPANS = "array<struct<s:int,k:int,e:int,score:double>>"
@@ -70,6 +77,8 @@ def _valid(kind: str, x: str) -> str:
         turned = f"concat(substring({plain}, 5), substring({plain}, 1, 4))"
         step = "if(c between '0' and '9', (t * 10 + int(c)) % 97, (t * 100 + ascii(c) - 55) % 97)"
         return f"if(length({plain}) between 15 and 34, aggregate(split({turned}, ''), 0, (t, c) -> if(c = '', t, {step})) = 1, false)"
+    if kind == "secret":
+        return f"(rlike({x}, '[:=].*[0-9]') and rlike({x}, '[:=].*[A-Za-z]'))"
     return f"length({_digits(x)}) between 9 and 15"
 
 
@@ -83,16 +92,25 @@ def _matches(kind: str) -> Column:
     return F.expr(f"case when text is null{f' or not ({hint})' if hint else ''} then cast(array() as array<string>) else {found} end")
 
 
+def _near(pieces: str, words: str) -> str:
+    """Whether one of the words stands near match i, which lies between pieces i and i + 1."""
+    around = f"concat(right({pieces}[i], {WINDOW}), ' ', left({pieces}[i + 1], {WINDOW}))"
+    return f"rlike({around}, {_quoted(f'(?iu)' + chr(92) + 'b(?:' + words + ')' + chr(92) + 'b')})"
+
+
 def _spans(kind: str) -> Column:
     """Valid spans of m_<kind>: array of (s, k, e, score)."""
     m, order = f"m_{kind}", list(PATTERNS).index(kind)
-    before, at = f"lower(right(g_{kind}[i], {WINDOW}))", f"a.at + length(g_{kind}[i])"
-    score = f"{SCORE[kind]} + if(rlike({before}, {_quoted(CONTEXT[kind])}), 0.3, 0.0) - if(rlike({before}, {_quoted(AGAINST)}), 0.2, 0.0)"
+    at = f"a.at + length(g_{kind}[i])"
+    score = f"{SCORE[kind]} + if({_near(f'g_{kind}', CONTEXT[kind])}, 0.3, 0.0) - if({_near(f'g_{kind}', AGAINST)}, 0.2, 0.0)"
     span = f"named_struct('s', {at}, 'k', {order}, 'e', {at} + length({m}[i]), 'score', least(1.0D, double({score})))"
-    walk = (
-        f"aggregate(sequence(0, size({m}) - 1), named_struct('at', 0, 'out', cast(array() as {SPANS})), (a, i) -> named_struct("
-        f"'at', {at} + length({m}[i]), 'out', if({_valid(kind, f'{m}[i]')}, concat(a.out, array({span})), a.out)), a -> a.out)"
-    )
+    one = f"named_struct('at', {at} + length({m}[i]), 'out', if({_valid(kind, f'{m}[i]')}, concat(a.out, array({span})), a.out))"
+    none = f"cast(array() as {SPANS})"
+    # Lists grow by concat, which copies them: blocks of about sqrt(n) matches keep the copies of n matches below n * sqrt(n).
+    per = f"cast(ceil(sqrt(size({m}))) as int)"
+    block = f"aggregate(sequence(b * {per}, least(size({m}), (b + 1) * {per}) - 1), named_struct('at', w.at, 'out', {none}), (a, i) -> {one})"
+    joined = f"transform(array({block}), x -> named_struct('at', x.at, 'out', concat(w.out, x.out)))[0]"
+    walk = f"aggregate(sequence(0, (size({m}) - 1) div {per}), named_struct('at', 0, 'out', {none}), (w, b) -> {joined}, w -> w.out)"
     return F.expr(f"case when size({m}) = 0 then cast(array() as {SPANS}) else {walk} end")
 
 
@@ -123,8 +141,8 @@ def mask(docs: DataFrame) -> DataFrame:
     for kind, pattern in PATTERNS.items():
         ok = _valid(kind, "x")
         if kind == "national":
-            # only with a word before it that speaks for it: the piece before match i is g[i]
-            ok = f"({ok} and rlike(lower(right(g[i], {WINDOW})), {_quoted(CONTEXT[kind])}) and not rlike(lower(right(g[i], {WINDOW})), {_quoted(AGAINST)}))"
+            # only with a word near it that speaks for it and none against
+            ok = f"({ok} and {_near('g', CONTEXT[kind])} and not {_near('g', AGAINST)})"
         out = out.withColumn("m", _matches(kind))
         out = out.withColumn("g", F.expr(f"case when size(m) > 0 then split(text, {_quoted(pattern)}, -1) end"))
         put = f"array_join(zip_with(g, transform(m, (x, i) -> if({ok}, '<{kind.upper()}>', x)), (a, b) -> concat(a, coalesce(b, ''))), '')"

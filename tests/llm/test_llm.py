@@ -212,6 +212,48 @@ def test_op7(docs, texts):
     assert got == want and sum(k[2] for k in want) > 0
 
 
+def test_op7_repeated_ids(spark):
+    """Rows of one id with other texts are rows of their own; tables without rows; clashing columns."""
+    rng = np.random.default_rng(2)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    a, b = word(120), word(260)
+    rows = [(1, " ".join(a)), (5, " ".join(["z", *a])), (5, "short"), (5, " ".join(b)), (5, " ".join(b)), (7, " ".join(b[100:]))]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, starts int")
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(df).collect())
+    assert got == collections.Counter([(1, 120, 0), (5, 121, 120), (5, 1, 0), (5, 260, 0), (5, 260, 0), (7, 160, 160)])
+    assert substring_dedup.substring_dedup(df.limit(0)).collect() == []
+
+
+def test_op5_bounds_and_hot_ids(spark):
+    """Bounds against all choices; ten thousand rows of one id are spread over chunks and fill batches."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        top = np.unique(rng.integers(1, 5000, rng.integers(1, 9)))
+        n = rng.integers(1, 50, len(top))
+        pad = lambda bs: sum(int(k) * (min(b for b in bs if b >= t) - int(t)) for t, k in zip(top, n))
+        best = min(pad({*c, int(top[-1])}) for r in range(3) for c in itertools.combinations(top.tolist(), r))
+        assert pad(packing.optimal_bounds(top, n, top * n, 3)) == best
+    docs = spark.range(12_000).select(F.when(F.col("id") % 6 > 0, F.lit(7)).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    out = packing.pack(docs, budget=30, chunk=500)
+    per = out.groupBy("batch_id").count().collect()
+    assert out.count() == 12_000 and sorted(r["count"] for r in per)[0] == 10 and len(per) == 1200
+    assert packing.pack(docs.limit(0)).collect() == []
+
+
+def test_op9_long_and_empty(spark):
+    """Thousands of matches in one text, near context on both sides, secrets, empty table, clashing columns."""
+    text = " ".join(f"a{i}@b{i}.org" for i in range(6000))
+    more = "0171 2345678 tel, token = '04dbebab91ab85687d33' password: aaaaaaaaaaaaaaaaaaaa"
+    rows = [(1, text, 0), (2, more, 0), (3, None, 0), (4, "hotel 0171 2345678901 repay", 0)]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, email int")).collect()}
+    want = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert got[1].n_email == 6000 and got[1].spans == ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+    assert [x.split(":")[0] for x in got[2].spans.split(",")] == ["national", "secret"] and got[3].spans == got[4].spans == ""
+    assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_difference_cover():
     for v in (1, 2, 3, 7, 13, 31, 50, 97):
         c = substring_dedup.difference_cover(v)
