@@ -10,11 +10,13 @@ over the blocks would lie in no cap at all.) List decoding finds these filters f
 the ranked words of each block, at a cost that follows the number of filters found,
 not of all. Vectors of a filter are compared by exact cosine in double precision.
 Measured on random pairs at a cosine of 0.98, of even and uneven energy: see README.
+Under 10 dimensions there are fewer code words: caps would else lie so close that two vectors
+at the threshold need not share one of `count`.
 
 Vectors that are equal under the same label form a class first, so that copies cost
 one row. A filter with many members is split by hash into blocks of about `block`
 vectors; each pair of blocks is one unit of work, of bounded size whatever the
-filter holds. A pair that shares several filters counts in the smallest one only.
+filter holds (a filter of m members is then copied m / block times). A pair that shares several filters counts in the smallest one only.
 Units return link counts and a spanning forest, one row a vector, never pairs.
 
 Links need equal, non-null labels and equal lengths. Vectors that are null, empty,
@@ -32,11 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop_cut
 
 KEY = ["label", "dim", "filter", "lo", "hi"]
 
 
+def words_of(dim: int, words: int) -> int:
+    """Code words a block for this dimension."""
+    return min(words, 1 << (dim // 2 + 2))
+
+
 def code_words(dim: int, blocks: int, words: int, table: int) -> np.ndarray:
     """blocks x words x width unit vectors; width covers dim, padded with zeros."""
     width = -(-dim // blocks)
@@ -99,7 +106,8 @@ def _filters(blocks: int, words: int, count: int, tables: int, with_vector: bool
                 for part in np.array_split(np.flatnonzero(dims == dim), max(1, int((dims == dim).sum()) // 2048)):
                     take = pa.array(part)
                     x = _unit(col["embedding"].take(take))
-                    found = [list_decode(x @ rotation(int(dim), t), code_words(int(dim), blocks, words, t), count) + t * words**blocks for t in range(tables)]
+                    w = words_of(int(dim), words)
+                    found = [list_decode(x @ rotation(int(dim), t), code_words(int(dim), blocks, w, t), count) + t * words**blocks for t in range(tables)]
                     c = np.concatenate(found, axis=1)
                     r, c = np.repeat(np.arange(len(x)), c.shape[1]), c.ravel()
                     back = take.take(pa.array(r))
@@ -176,7 +184,7 @@ def _units(least: float):
 
 
 def near_duplicates(
-    emb: DataFrame, least: float = 0.98, blocks: int = 2, words: int = 128, count: int = 16, tables: int = 2, block: int = 512
+    emb: DataFrame, least: float = 0.98, blocks: int = 2, words: int = 128, count: int = 16, tables: int = 2, block: int = 1024
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of emb(vec_id, embedding, label)."""
     emb = emb.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
@@ -203,12 +211,14 @@ def near_duplicates(
     n = int(emb.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = units.repartition(n, *KEY).sortWithinPartitions(*KEY)
     links = cut(units.mapInArrow(_units(least), "rep long, root long, links long"), "links")
+    drop_cut(used)
     comp = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     stats = links.groupBy("rep").agg(F.sum("links").alias("links")).join(comp.withColumnRenamed("v", "rep"), "rep", "left")
     known = classes.join(stats, "rep", "left").select(
         "label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("root")
     )
     known = cut(known, "known")
+    drop_cut(classes, links, comp)
     # An invalid row has no class to meet; a null id is put aside although its vector may be a valid one's.
     out = emb.join(known, ["label", "embedding"], "left")
     comp_id = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))
