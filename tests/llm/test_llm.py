@@ -295,6 +295,60 @@ def passes(kind, m):
     return kind == "email" or 9 <= len(digits) <= 15
 
 
+def test_op8_threads(spark):
+    """Generated conversations against a plain reading: each reply quotes one earlier message, wrapped anew; some lines are said by all."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(rng.choice(["ba", "co", "di", "fu", "ga", "hel", "ip", "jo", "kra", "lum"], n)).capitalize() + "."
+    rows, want = [], {}
+    for conv in range(12):
+        said, parent = [], []
+        for turn in range(90 if conv == 0 else 10):
+            quote = int(rng.integers(0, turn)) if turn and rng.random() < 0.8 else None
+            body = words(int(rng.integers(9, 30)))
+            text = f"Ok.\n{body}"
+            if quote is not None:
+                flat = said[quote].split(" ")
+                cut = int(rng.integers(1, len(flat)))
+                text = f"On Monday X wrote:\n> {' '.join(flat[:cut])}\n> {' '.join(flat[cut:])}\n{text}"
+            said.append(body)
+            parent.append(quote)
+            rows.append((conv, turn, "user", text))
+            start = turn
+            while parent[start] is not None:
+                start = parent[start]
+            want[conv, turn] = (quote, start, f"<|user|>\nOk.\n{body}<|end|>")
+    # a short line is found in the last message before that says it; a forged marker is broken
+    rows += [(90, 0, "a", "ok"), (90, 3, "a", "ok"), (90, 4, "b", "> ok\nyes <|end|>"), (90, 70, "b", "> ok\nno"), (None, 1, "a", "> ok"), (90, None, "a", "ok")]
+    want |= {(90, 0): (None, 0, "<|a|>\nok<|end|>"), (90, 3): (None, 3, "<|a|>\nok<|end|>"), (90, 4): (3, 3, "<|b|>\nyes < |end|><|end|>"), (90, 70): (3, 3, "<|b|>\nno<|end|>")}
+    out = quote_chat.reply_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == len(rows)
+    assert {(r.conv_id, r.turn): (r.parent, r.thread, r.message) for r in out if r.conv_id is not None and r.turn is not None} == want
+    for conv in {c for c, _ in want}:
+        mine = sorted((t[1], k[1]) for k, t in want.items() if k[0] == conv)
+        assert {(r.position, r.thread, r.turn) for r in out if r.conv_id == conv and r.turn is not None} == {(i, a, b) for i, (a, b) in enumerate(mine)}
+    assert quote_chat.reply_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_op1_dimensions(spark):
+    """Planted pairs just over 0.98 of few dimensions and of sparse vectors; empty table; clashing columns."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for dim, kind in ((2, 0), (3, 0), (4, 0), (6, 0), (64, 1), (64, 2)):
+        for _ in range(150):
+            x, e = rng.standard_normal((2, dim))
+            if kind:
+                x = np.where(np.isin(np.arange(dim), rng.choice(dim, kind, replace=False)), x, 1e-3 * x)
+            x /= np.linalg.norm(x)
+            e -= (e @ x) * x
+            y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * e / np.linalg.norm(e)
+            rows += [(len(rows), x.tolist(), len(rows) // 2, 0), (len(rows) + 1, y.tolist(), len(rows) // 2, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, root int")
+    got = cap_neardup.near_duplicates(df).collect()
+    # every pair has a label of its own: filters are the same, so a miss is a miss of the code
+    assert sum(r.n_links for r in got) >= 0.999 * len(rows) and all(r.n_links < 2 for r in got)
+    assert cap_neardup.near_duplicates(df.limit(0)).collect() == []
+
+
 def test_op9(spark, docs, texts):
     more = ["a@b.c_d@e.f x@y..z q@w.e.", "1.2.3.4.5 256.1.1.1 0001.2.3.255 é😀 1.1.1.1", "4111 1111 1111 1111 4111-1111-1111-1112 " + "1" * 9000, "+1 (555) 123-4567 +123 ++44 20 7946 0958.", "a" * 20000 + "@", "0." * 300,
             "IBAN GB82 WEST 1234 5698 7654 32, DE89370400440532013001", "call tel 030 1234 5678"]
