@@ -58,3 +58,8 @@ def placeholder_ref(pipeline_id: Column, stage_id: Column) -> Column:
 def canonical_config(config: dict[str, Column]) -> Column:
     """JSON of sorted keys without nulls, as hashed by importers."""
     return F.to_json(F.struct(*[config[k].alias(k) for k in sorted(config)]))
+
+
+def mock_payload(task_type: Column, config: Column, refs: Column) -> Column:
+    """The deterministic payload of a task: type, configuration and input references joined by bars."""
+    return F.concat_ws("|", task_type, F.coalesce(config, F.lit("")), refs)

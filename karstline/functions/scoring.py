@@ -63,3 +63,45 @@ def mock_metrics(digest: pd.Series) -> pd.DataFrame:
         {"rmse_px": rmse, "mean_error_px": 0.7 * rmse, "completeness_pct": 80 + 20 * u[:, 1], "baseline_ratio": 0.2 + 0.3 * u[:, 2],
          "point_count": 30000 + 30000 * u[:, 3], "mean_confidence": 0.5 + 0.5 * u[:, 4]}
     )
+
+
+POINT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y", "size", "angle", "response")])
+FEATURES = T.StructType([T.StructField("keypoints", T.ArrayType(POINT)), T.StructField("descriptors", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+
+def keypoints(digests: list[str], count: int) -> list[list[tuple]]:
+    """Key points and 16 numbers each of a xorshift64* stream seeded by the exclusive or of a digest's 8-character words:
+    a grid over 96 units with jitter. All digests of a batch are drawn together."""
+    words = np.frombuffer("".join(digests).encode(), ">u8").reshape(len(digests), -1)
+    state = np.bitwise_xor.reduce(words.astype(np.uint64), axis=1) if len(digests) else np.zeros(0, np.uint64)
+    state = np.where(state == 0, np.uint64(0x9E3779B97F4A7C15), state)
+
+    def draw(modulus: int) -> np.ndarray:
+        nonlocal state
+        with np.errstate(over="ignore"):
+            state = state ^ (state >> np.uint64(12))
+            state = state ^ (state << np.uint64(25))
+            state = state ^ (state >> np.uint64(27))
+            return (state * np.uint64(0x2545F4914F6CDD1D) % np.uint64(modulus)).astype(np.float64)
+
+    side = int(np.ceil(np.sqrt(count)))
+    space, out = 96.0 / side, []
+    for i in range(count):
+        x = (i % side) * space + draw(1000) / 1000.0 * space * 0.25
+        y = (i // side) * space + draw(1000) / 1000.0 * space * 0.25
+        point = [x, y, 2.0 + draw(1000) / 1000.0 * 4.0, draw(62831) / 100.0, draw(100000) / 100000.0]
+        out.append((np.stack(point, axis=1), np.stack([draw(65536) / 65536.0 for _ in range(16)], axis=1)))
+    return [[(tuple(p[k].tolist()), d[k].tolist()) for p, d in out] for k in range(len(digests))]
+
+
+@F.pandas_udf(FEATURES)
+def mock_keypoints(digest: pd.Series, count: pd.Series) -> pd.DataFrame:
+    """Features of the SHA-256 (hex) of an image; counts outside 1 to 4096 read as 64."""
+    count = count.where(count.between(1, 4096), 64).astype(int)
+    got: dict = {}
+    for n in count.unique():
+        at = digest.index[count == n]
+        got |= dict(zip(at, keypoints(digest[at].tolist(), int(n))))
+    names = ("x", "y", "size", "angle", "response")
+    rows = [got[i] for i in digest.index]
+    return pd.DataFrame({"keypoints": [[dict(zip(names, p)) for p, _ in r] for r in rows], "descriptors": [[d for _, d in r] for r in rows]})

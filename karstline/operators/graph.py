@@ -197,3 +197,16 @@ def spread_failure(status: DataFrame, edges: DataFrame, mark: str = "skipped") -
         reach = written(reach.unionByName(front))
     hit = reach.withColumn("__hit", F.lit(True))
     return status.join(hit, "node", "left").select("node", F.when(F.col("__hit") & (F.col("status") == "pending"), mark).otherwise(F.col("status")).alias("status"))
+
+
+def executed(results: DataFrame, edges: DataFrame, mark: str = "skipped") -> DataFrame:
+    """node, status at the end of a run: what a task's dispatch gives if everything it depends on succeeds, else
+    `mark`. results(node, status): the outcome of each task if it is dispatched. Tasks behind one that is
+    still pending stay pending, unless another one above them has failed."""
+    down = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    bad = results.where("status not in ('succeeded', 'pending')").select("node")
+    wait = results.where("status = 'pending'").select("node")
+    children = lambda top: edges.join(top.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node"))
+    below = lambda top: closure(down, children(top)).select("node")
+    out = results.join(below(bad).withColumn("__bad", F.lit(True)), "node", "left").join(below(wait).withColumn("__wait", F.lit(True)), "node", "left")
+    return out.select("node", F.when(F.col("__bad"), mark).when(F.col("__wait"), "pending").otherwise(F.col("status")).alias("status"))

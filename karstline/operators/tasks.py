@@ -40,7 +40,7 @@ def reduce_status(df: DataFrame, group: str) -> DataFrame:
 
 def infeasible(tasks: DataFrame, profiles: DataFrame) -> DataFrame:
     """Tasks that no worker profile can hold in all five dimensions."""
-    t, p = tasks.alias("t"), F.broadcast(profiles).alias("p")  # profiles of a fleet: one row a machine type
+    t, p = tasks.alias("t"), profiles.select(*NEEDS).distinct().alias("p")  # one row a machine type; Spark broadcasts it if it is small
     fits = [F.col(f"p.{c}") >= F.col(f"t.{c}") for c in NEEDS]
     cond = fits[0]
     for f in fits[1:]:
@@ -85,3 +85,12 @@ def illegal_history(log: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     prev = F.lag("status").over(Window.partitionBy(key).orderBy(*order))
     return log.withColumn("prev", prev).where(F.col("prev").isNotNull() & ~legal_move(F.col("prev"), F.col("status")))
+
+
+def dispatched(runs: DataFrame, most_attempts: int) -> DataFrame:
+    """task_id, status, attempts of each task's dispatch. runs(task_id, attempt from 1, outcome, recoverable): a
+    recoverable failure is tried again while attempts are left; the first other outcome, or the last attempt, stands."""
+    last = (F.col("outcome") != "failed") | ~F.col("recoverable") | (F.col("attempt") >= most_attempts)
+    done = runs.where(last).groupBy("task_id").agg(F.min(F.struct("attempt", "outcome")).alias("r"))
+    every = runs.groupBy("task_id").agg(F.max("attempt").alias("tried")).join(done, "task_id", "left")
+    return every.select("task_id", F.coalesce("r.outcome", F.lit("pending")).alias("status"), F.coalesce("r.attempt", "tried").cast("long").alias("attempts"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def append_intervals(existing: DataFrame, batch: DataFrame, key: str, seq: str)
 
     def walk(pdf):
         pdf = pdf.sort_values(["__old", "__seq"], ascending=[False, True])
-        taken, top, reason, version = [], 0, [], []
+        # accepted time as disjoint intervals in order: a row overlaps some accepted one exactly if it overlaps their union
+        starts, ends, top, reason, version = [], [], 0, [], []
         for s, e, old, v in zip(pdf["__valid_from_ns"].tolist(), pdf["__valid_to_ns"].tolist(), pdf["__old"], pdf["__version"].tolist()):
             why = None
             if old:
@@ -57,13 +60,14 @@ def append_intervals(existing: DataFrame, batch: DataFrame, key: str, seq: str)
                 why = "missing_start"
             elif e <= s:
                 why = "empty_interval"
-            elif any(s < d and c < e for c, d in taken):
+            elif (k := bisect.bisect_left(starts, e)) and ends[k - 1] > s:
                 why = "overlap"
             else:
                 top += 1
                 v = top
-            if why is None and s != NEVER:
-                taken.append((s, e))
+            if why is None and s != NEVER and s < e:
+                i, j = bisect.bisect_left(ends, s), bisect.bisect_right(starts, e)
+                starts[i:j], ends[i:j] = [min([s, *starts[i:j][:1]])], [max([e, *ends[i:j][-1:]])]
             version.append(v)
             reason.append(why)
         return pdf.assign(__new=version, reason=reason)[[key, *carried, "__new", "reason"]]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import geometry as g
 from .functions import identity as ids
+from .functions import scoring
 from .operators import documents, graph, imports, scene, store, tasks, temporal, trajectory, validate
 from .plans import fixtures as fx
 from .queries import _CLOSURE, _TO_ROOT, Q, SQL, _tree, query, uuid5_sql
@@ -436,3 +438,42 @@ def edge_violations(spark, d):
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), (F.col("l_quantity") / 40).cast("double").alias("confidence"), F.lit(None).cast("array<double>").alias("information_matrix_6x6"),
         F.when(F.col("l_linenumber") == 3, "no hash").otherwise(F.sha2(F.lit("x"), 256)).alias("content_hash"))
     return validate.violations(e, "edge_id", validate.edge_rules())
+
+
+_RUNS = """, runs AS (SELECT l_partkey AS task_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS attempt,
+CASE WHEN l_quantity > 20 THEN 'succeeded' ELSE 'failed' END AS outcome, l_returnflag <> 'R' AS recoverable FROM lineitem),
+last AS (SELECT task_id, min(attempt) AS attempt FROM runs WHERE outcome <> 'failed' OR NOT recoverable OR attempt >= 3 GROUP BY task_id),
+done AS (SELECT r.task_id, coalesce(any_value(CASE WHEN r.attempt = l.attempt THEN r.outcome END), 'pending') AS status, coalesce(any_value(l.attempt), max(r.attempt)) AS attempts FROM runs r LEFT JOIN last l USING (task_id) GROUP BY r.task_id) """
+
+
+def _done(spark, d):
+    order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")
+    runs = fx.raw(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("task_id"), F.row_number().over(order).alias("attempt"), F.when(F.col("l_quantity") > 20, "succeeded").otherwise("failed").alias("outcome"), (F.col("l_returnflag") != "R").alias("recoverable"))
+    return tasks.dispatched(runs, 3)
+
+
+@query(_RUNS + "SELECT task_id, status, attempts FROM done")
+def task_dispatches(spark, d):
+    return _done(spark, d)
+
+
+@query(_RUNS + """, res AS (SELECT t.task_id, coalesce(d.status, 'succeeded') AS status FROM tasks t LEFT JOIN done d USING (task_id)),
+badly(n) AS (SELECT e.child FROM task_edges e JOIN res r ON r.task_id = e.parent AND r.status NOT IN ('succeeded', 'pending') UNION SELECT e.child FROM badly b JOIN task_edges e ON e.parent = b.n),
+waits(n) AS (SELECT e.child FROM task_edges e JOIN res r ON r.task_id = e.parent AND r.status = 'pending' UNION SELECT e.child FROM waits b JOIN task_edges e ON e.parent = b.n)
+SELECT task_id AS node, CASE WHEN task_id IN (SELECT n FROM badly) THEN 'skipped' WHEN task_id IN (SELECT n FROM waits) THEN 'pending' ELSE status END AS status FROM res""")
+def scheduler_run(spark, d):
+    t = fx.tasks(spark, d).select("task_id").join(_done(spark, d), "task_id", "left")
+    return graph.executed(t.select(F.col("task_id").alias("node"), F.coalesce("status", F.lit("succeeded")).alias("status")), fx.task_edges(spark, d))
+
+
+@query("SELECT artifact_id, sha256(type || '|{}|' || mime_type || '|' || content_hash) AS payload_hash FROM artifacts")
+def mock_payloads(spark, d):
+    return fx.artifacts(spark, d).select("artifact_id", ids.sha256(ids.mock_payload(F.col("type"), F.lit("{}"), F.array("mime_type", "content_hash"))).alias("payload_hash"))
+
+
+@query()
+def mock_features(spark, d):
+    """Not in SQL: a stream of 64-bit draws a row. Tests hold it against a plain reading."""
+    a = fx.artifacts(spark, d).select("artifact_id", scoring.mock_keypoints(F.col("content_hash"), (F.col("artifact_id") % 9).cast("long")).alias("f"))
+    return a.select("artifact_id", F.size("f.keypoints").alias("points"), F.sha2(documents.feature_json(F.col("f.keypoints"), F.col("f.descriptors")), 256).alias("content_hash"))

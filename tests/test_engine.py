@@ -141,3 +141,74 @@ def test_feature_and_graph_documents(spark):
     t, e = documents.read_task_graph(documents.task_graph_json(tasks, edges))
     assert sorted(tuple(r) for r in t.collect()) == [(7, 1, "failed"), (7, 2, "pending"), (8, 3, "running")]
     assert [tuple(r) for r in e.collect()] == [(7, 1, 2)]
+
+
+def test_mock_keypoints():
+    def plain(digest, count):
+        state = 0
+        for i in range(0, 64, 8):
+            state ^= int.from_bytes(digest[i : i + 8].encode(), "big")
+        mask = (1 << 64) - 1
+
+        def draw(m):
+            nonlocal state
+            state ^= state >> 12
+            state ^= (state << 25) & mask
+            state ^= state >> 27
+            return (state * 0x2545F4914F6CDD1D & mask) % m
+
+        side, out = 1, []
+        while side * side < count:
+            side += 1
+        for i in range(count):
+            x, y, size = ((draw(1000) / 1000) for _ in range(3))
+            gap = 96.0 / side
+            out.append((((i % side) * gap + x * gap * 0.25, (i // side) * gap + y * gap * 0.25, 2 + size * 4, draw(62831) / 100, draw(100000) / 100000), [draw(65536) / 65536 for _ in range(16)]))
+        return out
+
+    digests = [f"{k:064x}" for k in (1, 2**200 + 5, 77)]
+    assert scoring.keypoints(digests, 7) == [plain(x, 7) for x in digests]
+
+
+def test_compile(spark):
+    from karstline.operators import tasks
+    from karstline.plans import pipelines
+
+    known = pipelines.built_in()
+    assert known.ids() == ["feature_extraction", "mock_photogrammetry"]
+    with pytest.raises(ValueError, match="already"):
+        known.register(known.find("feature_extraction"))
+    mock, able = known.find("mock_photogrammetry"), {"feature_extraction", "reconstruction", "validation"}
+    plan = pipelines.compile_pipeline(mock, ["b", "a"], '{"x":1}', able)
+    assert [s["inputs"] for s in plan["stages"]] == [["b", "a"], ["mock_photogrammetry/feature_extract/output"], ["mock_photogrammetry/reconstruct/output"]]
+    assert plan == pipelines.compile_pipeline(mock, ["b", "a"], '{"x":1}', able) and plan["pipeline_hash"] != pipelines.compile_pipeline(mock, ["b"], '{"x":1}', able)["pipeline_hash"]
+    row = spark.range(1).select(ids.pipeline_hash(F.lit(mock.id), F.lit(mock.version), F.lit(mock.git_commit), F.lit('{"x":1}'), F.array(F.lit("b"), F.lit("a"))).alias("p"),
+                                ids.cache_key(F.lit("feature_extract"), F.array(F.lit("b"), F.lit("a")), F.lit(plan["stages"][0]["config_hash"]), F.lit(""), F.lit("")).alias("k")).first()
+    assert (row.p, row.k) == (plan["pipeline_hash"], plan["stages"][0]["task_hash"])
+    for args, word in (((mock, [], "", able), "input"), ((mock, ["a"], "{", able), "JSON"), ((mock, ["a"], "", {"validation"}), "capability")):
+        with pytest.raises(ValueError, match=word):
+            pipelines.compile_pipeline(*args)
+    t, e = pipelines.tables(spark, plan)
+    assert [r.task_id for r in tasks.ready(t, e).collect()] == ["feature_extract"]
+
+
+def test_project(spark, tmp_path):
+    from karstline.plans.project import Project
+
+    root, id_ = f"file://{tmp_path}/p.spx", "00000000-0000-4000-8000-000000000001"
+    p = Project.create(spark, root, "name", id_)
+    p.write("frames", spark.range(3))
+    for bad in (lambda: Project.create(spark, root, "n", id_), lambda: Project.create(spark, f"{root}x", "n", id_), lambda: Project.open(spark, f"{root}.none"),
+                lambda: Project.create(spark, f"file://{tmp_path}/q.spx", "n", "00000000-0000-0000-0000-000000000000")):
+        with pytest.raises((ValueError, OSError)):
+            bad()
+    reader = Project.open(spark, root, read_only=True)
+    assert reader.info["uuid"] == id_ and reader.table("frames").count() == 3
+    with pytest.raises(PermissionError):
+        reader.write("frames", spark.range(1))
+    p.info["schema_version"] = 5
+    p.save()
+    assert Project.open(spark, root).info["schema_version"] == 8 and Project.open(spark, root).migrate() == 0
+    (tmp_path / "p.spx" / "logs").rmdir()
+    with pytest.raises(ValueError, match="logs"):
+        Project.open(spark, root)
