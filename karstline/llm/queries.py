@@ -86,5 +86,23 @@ links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.l
 reach(x, y) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
 roots AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, r.component_id, e.vec_id = r.component_id AS kept FROM e JOIN roots r ON r.x = e.vec_id
-"""
+""",
+    "op7_substring_dedup": """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(ws[i : i + 49], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+first AS (SELECT s, min(doc_id) AS lo FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM win JOIN first USING (s) WHERE lo < doc_id),
+word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op10_ngram_jaccard": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, array_to_string(ws[i : i + 2], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN n p ON p.doc_id = a.doc_id JOIN sh b ON b.s = a.s AND b.doc_id <> a.doc_id JOIN n q ON q.doc_id = b.doc_id
+  WHERE 100 * p.n >= 90 * q.n AND 100 * q.n >= 90 * p.n GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(y) FROM reach WHERE x = w.doc_id), w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)
+""",
 }

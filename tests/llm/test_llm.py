@@ -97,6 +97,35 @@ def test_op2(spark):
     assert quality_knn.fit(docs, labels.limit(0)).score(np.zeros((2, quality_knn.FEATURES), np.float32)).tolist() == [0.5, 0.5]
 
 
+def test_op2_votes(spark):
+    """Scores against a plain reading of the votes, ties at the last places included; any order of the sample gives the same."""
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.standard_normal((40, quality_knn.FEATURES))).astype(np.float32) * (rng.random((40, quality_knn.FEATURES)) < 0.02)
+    x[20:30] = x[5]  # ten equal rows: they tie
+    y = np.array([1, 0] * 20)
+    idf, mean = np.ones(quality_knn.FEATURES), np.zeros(quality_knn.FEATURES)
+    m = quality_knn.Model(x, y, idf, mean, 8, 7, 4.0)
+    probe = np.concatenate([x[5:6], x[:4], np.zeros((1, quality_knn.FEATURES), np.float32)])
+    got = m.score(probe)
+    for z, s in zip(m._latent(probe[:5]), got):
+        sim = (z @ m.known.T).astype(np.float64)
+        last = np.sort(sim)[::-1][6]
+        above, tie = sim > last + 1e-6, np.abs(sim - last) <= 1e-6
+        w = np.maximum(sim, 1e-6) ** 4 * m.weight * (above + tie * (7 - above.sum()) / tie.sum())
+        assert abs((w * y).sum() / w.sum() - s) < 1e-3
+    assert got[5] == m.prior
+
+
+def test_op2_odd_tables(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["good text here " * 9, "BAD!! " * 30, None, "", "x" * 200_000, "good text here " * 9])] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0), (5, 1), (None, 1), (3, 7), (2, None)], "doc_id long, quality int")
+    model = quality_knn.fit(docs, labels)
+    assert len(model.y) == 3
+    got = {(r.doc_id, round(r.score, 9)) for r in quality_knn.score_documents(docs.withColumn("known", F.lit(1)), model).collect()}
+    assert len(got) == 6 and all(0 <= s <= 1 for _, s in got) and {s for i, s in got if i in (2, 3)} == {round(model.prior, 9)}
+    assert quality_knn.score_documents(docs.limit(0), quality_knn.fit(docs.limit(0), labels.limit(0))).collect() == []
+
+
 def test_op3(spark, docs, texts):
     got = collections.Counter((r.doc_id, r.text) for r in line_dedup.line_dedup(docs.withColumn("gone", F.lit(1))).collect())
     shingles = {}
@@ -212,6 +241,15 @@ def test_op7(docs, texts):
     assert got == want and sum(k[2] for k in want) > 0
 
 
+@pytest.mark.parametrize("name", ["op7_substring_dedup", "op10_ngram_jaccard"])
+def test_sql(spark, name):
+    import oracle
+
+    from karstline.llm import queries
+
+    assert oracle.compare(spark, queries.QUERIES[name], queries.ORACLE[name], D) >= 200
+
+
 def test_op7_repeated_ids(spark):
     """Rows of one id with other texts are rows of their own; tables without rows; clashing columns."""
     rng = np.random.default_rng(2)
