@@ -126,39 +126,76 @@ def test_op2_odd_tables(spark):
     assert quality_knn.score_documents(docs.limit(0), quality_knn.fit(docs.limit(0), labels.limit(0))).collect() == []
 
 
-def test_op3(spark, docs, texts):
-    got = collections.Counter((r.doc_id, r.text) for r in line_dedup.line_dedup(docs.withColumn("gone", F.lit(1))).collect())
-    shingles = {}
+def plain_lines(texts, widths):
+    """(id, text without repeated lines) of every row, by all pairs of lines that share a shingle."""
     order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0))
     strip = " \t\r\x0b\x0c"
-    for _, t in order:
-        for line in t.split("\n"):
-            if line := line.strip(strip):
-                shingles.setdefault(line, {line[i : i + 10] for i in range(len(line) - 9)})
+    names = list(dict.fromkeys(x for _, t in order for y in t.split("\n") if (x := y.strip(strip))))
     find, join = union_find()
-    names = list(shingles)
-    inv = collections.defaultdict(list)
-    for line in names:
-        hits = collections.Counter(m for s in shingles[line] for m in inv[s])
-        for m, n in hits.items():
-            if 100 * n >= 80 * (len(shingles[line]) + len(shingles[m]) - n):
-                join(line, m)
-        for s in shingles[line]:
-            inv[s].append(line)
+    for width, least, most in widths:
+        sets, inv = {x: {x[i : i + width] for i in range(len(x) - width + 1)} for x in names if least <= len(x) <= most}, collections.defaultdict(list)
+        for x, s in sets.items():
+            for y, n in collections.Counter(y for k in s for y in inv[k]).items():
+                if 100 * n >= 80 * (len(s) + len(sets[y]) - n):
+                    join(x, y)
+            for k in s:
+                inv[k].append(x)
     seen, want = {}, collections.Counter()
     for i, t in order:
         keep, here = [], set()
         for line in t.split("\n"):
-            key = line.strip(strip)
-            if key:
+            if key := line.strip(strip):
                 root = find(key)
                 if root in here or seen.setdefault(root, i) != i:
                     continue
                 here.add(root)
             keep.append(line)
         want[i, "\n".join(keep)] += 1
+    return want
+
+
+def test_op3(spark, docs, texts):
+    got = collections.Counter((r.doc_id, r.text) for r in line_dedup.line_dedup(docs.withColumn("gone", F.lit(1))).collect())
     fixed = collections.Counter({(i, t if t is not None else ""): n for (i, t), n in got.items()})
-    assert fixed == want
+    assert fixed == plain_lines(texts, ((10, 10, 1 << 31),))
+
+
+def test_stages_by_plain_readings(spark, docs, texts):
+    """Each stage on the documents of sf0.001 and odd rows, with a clashing column, against a plain version of it."""
+    import corpus_pipeline as C
+
+    wide = docs.withColumns({"lang": F.lit("xx"), "gone": F.lit(1), "size": F.lit(2)})
+    both = lambda df: collections.Counter((r.doc_id, r.text or "") for r in df.collect())
+    base = spark.read.parquet(f"{D}/documents.parquet")
+    model = quality_knn.fit(base, spark.read.parquet(f"{D}/labels.parquet").where(~quality_knn.held_out()))
+    want = collections.Counter((r.doc_id, r.text or "") for r in quality_knn.score_documents(docs, model).collect() if r.score >= 0.7)
+    out = C.quality(spark, wide, D)
+    assert both(out) == want and out.columns == wide.columns
+    out = C.lines(spark, wide, D)
+    assert both(out) == plain_lines(texts, line_dedup.WIDTHS) and out.columns == wide.columns
+    find, join = union_find()
+    sets = []
+    for i, t in texts:
+        w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t))
+        s = {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({" ".join(w)} if w else set())
+        for j, u in sets:
+            if i is not None and s and 100 * len(s & u) >= 80 * len(s | u):
+                join(i, j)
+        if i is not None:
+            sets.append((i, s))
+    out = C.near_duplicates(spark, wide, D)
+    assert both(out) == collections.Counter((i, t) for i, t in texts if i is None or find(i) == i) and out.columns == wide.columns
+    masked = both(C.private_data(spark, wide, D))
+    mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    assert sum(masked.values()) == len(texts) and not any(re.search(mail, t) for _, t in masked)
+    assert sum(t.count("<EMAIL>") * n for (_, t), n in masked.items()) == sum(len(re.findall(mail, t)) for _, t in texts)
+    packed = C.pack(spark, wide, D).collect()
+    size = collections.Counter((i, max(1, len(WORD.findall(t)))) for i, t in texts)
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in packed) == size
+    assert all(r.padded_length >= r.n_tokens and r.slot < max(1, 8192 // r.padded_length) for r in packed)
+    assert len({(r.batch_id, r.slot) for r in packed}) == len(packed)
+    for name, stage in C.STAGES:
+        assert stage(spark, wide.limit(0), D).collect() == [], name
 
 
 def test_op4(spark):
