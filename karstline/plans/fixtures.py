@@ -6,6 +6,8 @@ or collected. DOMAIN_SQL states the same definitions once more for DuckDB.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,17 @@ def nanos(ts: str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")) * 1000
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    return raw(spark, d, "events").select(
+def _at(ns: int) -> Column:
+    return F.lit(datetime.fromtimestamp(ns // 10**9, timezone.utc).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def events(spark: SparkSession, d: str, between: tuple[int, int] | None = None) -> DataFrame:
+    """between: whole seconds (as nanoseconds) that bound the stored time, so that the scan can skip row groups; rows outside go."""
+    e = raw(spark, d, "events")
+    if between:
+        kind = dict(e.dtypes)["ts"]
+        e = e.where((F.col("ts") >= _at(between[0]).cast(kind)) & (F.col("ts") < _at(between[1]).cast(kind)))
+    return e.select(
         "event_id", "user_id", "event_type", "value", nanos("ts").alias("t"),
         F.get_json_object("props", "$.k").cast("int").alias("k"), F.dayofyear("ts").alias("day"),
     )
@@ -37,9 +48,9 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, d: str) -> DataFrame:
+def observations(spark: SparkSession, d: str, between: tuple[int, int] | None = None) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])
-    return events(spark, d).select(
+    return events(spark, d, between).select(
         F.col("event_id").alias("observation_id"), F.col("event_id").alias("frame_id"), F.col("user_id").alias("sensor_id"),
         (F.col("user_id") % 25).alias("scene_id"), (F.col("user_id") * 1000 + F.col("day")).alias("session_id"),
         F.col("t").alias("timestamp_ns"), kind[F.col("event_type")].alias("type"), (F.col("event_id") % 1200).alias("artifact_ref"),

@@ -32,7 +32,7 @@ LEFT JOIN LATERAL (SELECT calibration_id AS cal_id, version AS cal_version FROM
 AND c.valid_from_ns <= o.timestamp_ns AND (c.valid_to_ns IS NULL OR o.timestamp_ns < c.valid_to_ns) ORDER BY c.valid_from_ns DESC, version DESC LIMIT 1) c ON true
 WHERE o.type = 'image' AND o.timestamp_ns >= {START} AND o.timestamp_ns < {END}""")
 def calibrated_captures(spark: SparkSession, d: str) -> DataFrame:
-    o = scene.in_range(fx.observations(spark, d), START, END).where("type = 'image'")
+    o = scene.in_range(fx.observations(spark, d, (START, END)), START, END).where("type = 'image'")
     o = scene.with_payload(o, fx.payloads(spark, d))
     o = temporal.resolve(o, fx.calibrations(spark, d), "sensor_id", "timestamp_ns", "observation_id")
     return o.select("observation_id", "timestamp_ns", "width", "height", "pixel_format", F.col("cal_calibration_id").alias("cal_id"), "cal_version").orderBy("timestamp_ns", "observation_id")
