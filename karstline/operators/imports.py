@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity as ids
+from ..sources import images
 from . import temporal
 
 #: The error codes of a file, in the order in which they are tested.
-REASONS = ("unreadable", "unsupported_format", "corrupt", "sensor_unresolved", "timestamp_unresolvable")
+REASONS = ("Unreadable", "UnsupportedFormat", "Corrupt", "SensorUnresolved", "TimestampUnresolvable")
+
+
+def described(files: DataFrame, allowed: tuple[str, ...] = ("jpeg", "png", "tiff", "exr")) -> DataFrame:
+    """files(..., content) as import_batch takes them: content_hash, readable, allowed and the header's geometry instead of the bytes."""
+    content = F.col("content")
+    facts = {"content_hash": F.sha2(content, 256), "readable": content.isNotNull(), "allowed": F.coalesce(images.detect(content).isin(*allowed), F.lit(False))}
+    out = images.with_headers(files.withColumns(facts))
+    return out.withColumns({c: F.col(f"header.{c}") for c in ("width", "height", "pixel_format")}).drop("header")
 
 
 def in_order(files: DataFrame) -> DataFrame:

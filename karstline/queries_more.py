@@ -350,8 +350,8 @@ def trajectory_uncertainty(spark, d):
 
 _FILES = """, files AS (SELECT user_id AS session_id, 'u' || (event_id * 7 % 13) || '/' || event_id AS uri, event_id AS pos, user_id % 60 AS sensor_id, CASE WHEN event_id % 17 = 0 THEN 0 ELSE t - t % 3600000000000 END AS timestamp_ns,
 sha256(CAST(event_id % 40 AS VARCHAR)) AS content_hash, event_id % 29 <> 0 AS readable, event_id % 23 <> 0 AS allowed, k AS width, 480 AS height, 'rgb8' AS pixel_format FROM ev),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY uri, pos) - 1 AS sequence_index, CASE WHEN NOT readable THEN 'unreadable' WHEN NOT allowed THEN 'unsupported_format' WHEN coalesce(width, 0) < 1 THEN 'corrupt'
-WHEN sensor_id >= 50 THEN 'sensor_unresolved' WHEN timestamp_ns = 0 THEN 'timestamp_unresolvable' END AS error FROM files) """
+ordered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY uri, pos) - 1 AS sequence_index, CASE WHEN NOT readable THEN 'Unreadable' WHEN NOT allowed THEN 'UnsupportedFormat' WHEN coalesce(width, 0) < 1 THEN 'Corrupt'
+WHEN sensor_id >= 50 THEN 'SensorUnresolved' WHEN timestamp_ns = 0 THEN 'TimestampUnresolvable' END AS error FROM files) """
 
 
 def _files(spark, d):

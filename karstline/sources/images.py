@@ -178,6 +178,15 @@ def with_headers(files: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, f"{fields}, header struct<format:string,width:bigint,height:bigint,pixel_format:string,mime_type:string>")
 
 
+def png_header(content: Column) -> Column:
+    """Struct of a PNG's header as plain expressions: its fields stand at fixed places; null if it is no PNG or its header is cut off."""
+    number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("long")
+    ok = (detect(content) == "png") & (F.hex(F.substring(content, 13, 4)) == "49484452") & (number(9, 4) >= 13) & (F.length(content) >= 29)
+    name = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])[number(26, 1).cast("int")]
+    pixel = F.coalesce(F.concat(name, number(25, 1).cast("string")), F.lit("unknown"))
+    return F.when(ok, F.struct(F.lit("png").alias("format"), number(17, 4).alias("width"), number(21, 4).alias("height"), pixel.alias("pixel_format"), F.lit("image/png").alias("mime_type")))
+
+
 def import_reason(content: Column, header: Column, sensor_id: Column, timestamp_ns: Column) -> Column:
     """The one error code of a file, null if it can be imported; the order of the checks decides."""
     return (

@@ -212,3 +212,18 @@ def test_project(spark, tmp_path):
     (tmp_path / "p.spx" / "logs").rmdir()
     with pytest.raises(ValueError, match="logs"):
         Project.open(spark, root)
+
+
+def test_import_of_files(spark):
+    from karstline.operators import imports
+
+    png = lambda colour, n=29: (b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 640, 480, 8, colour, 0, 0, 0) + b"\0" * 9)[:n]
+    rows = [("b", png(6)), ("a", png(2)), ("c", b"GIF89a.."), ("d", None), ("e", png(2, 20)), ("f", png(6)), ("g", png(2)), ("h", png(9))]
+    files = spark.createDataFrame([(1, u, k, 99 if u == "g" else 5, 0 if u == "h" else 7, c) for k, (u, c) in enumerate(rows)], "session_id long, uri string, pos long, sensor_id long, timestamp_ns long, content binary")
+    heads = {r.uri: (r.p, images.parse_header(bytes(r.content)) if r.content else None) for r in files.select("uri", "content", images.png_header(F.col("content")).alias("p")).collect()}
+    assert all((p.asDict() if p else None) == h for p, h in heads.values()) and heads["h"][0].pixel_format == "unknown"
+    cal = spark.createDataFrame([(3, 5, 1, 0, 7)], "calibration_id long, sensor_id long, version long, valid_from_ns long, valid_to_ns long")
+    none, sensors = spark.createDataFrame([], "observation_id string, content_hash string"), spark.createDataFrame([(5,)], "sensor_id long")
+    good, bad = imports.import_batch(imports.described(files), sensors, cal, none.select("observation_id"), none.select("content_hash"))
+    assert {(r.uri, r.sequence_index, r.error) for r in bad.collect()} == {("c", 2, "UnsupportedFormat"), ("d", 3, "Unreadable"), ("e", 4, "Corrupt"), ("g", 6, "SensorUnresolved"), ("h", 7, "TimestampUnresolvable")}
+    assert {(r.uri, r.reimported, r.new_instance, r.uncalibrated) for r in good.collect()} == {("a", False, False, True), ("b", False, False, True), ("f", True, False, True)}
