@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -73,12 +73,12 @@ def components(edges: DataFrame) -> DataFrame:
     vertex reachable from v, for every vertex of an edge between two vertices.
 
     Distributed union-find by alternating large-star and small-star rounds until
-    the edge set stands still. Minimum labels are pre-aggregated before each
+    all edges lead to a root. Minimum labels are pre-aggregated before each
     shuffle, written, and joined back, so that a vertex with a third of all edges
     is split by adaptive execution. Self loops and edges with nulls are ignored.
     """
-    e, mark = _edges(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    while mark[0]:
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while not _settled(e):
         both = e.select(F.col("u").alias("n"), F.col("v").alias("x")).unionByName(
             e.select(F.col("v").alias("n"), F.col("u").alias("x"))
         )
@@ -86,22 +86,21 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(both.where("x > n").join(low, "n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         hang = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new, now = _edges(hang.unionByName(least.select("u", F.col("m").alias("v"))))
+        new = cut(hang.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop_cut(e, low, large, least)
-        e, before, mark = new, mark, now
-        if mark == before:
-            break
+        e = new
     roots = e.select(F.col("v").alias("v"), F.col("v").alias("root")).distinct()
     out = e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(roots)
     out._cut_path = e._cut_path
     return out
 
 
-def _edges(df: DataFrame) -> tuple[DataFrame, tuple]:
-    """The distinct edges, written, with their count and an order-free fingerprint taken while writing."""
-    seen = Observation()
-    out = cut(df.distinct().observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), "edges")
-    return out, (seen.get["n"], seen.get["x"])
+def _settled(e: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: no vertex has two edges up, and none stands on both sides."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    odd = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return odd.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 BITS = 1 << 23
