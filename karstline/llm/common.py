@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -132,10 +133,11 @@ def only(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
 
 def link_buckets(
-    post: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str = "true", rounds: int = 3,
+    post: DataFrame | list[DataFrame], verify: Callable[[DataFrame], DataFrame], keep: str = "true", rounds: int = 3,
     prepare: Callable[[DataFrame], None] | None = None, sketch: Callable[[DataFrame], DataFrame] | None = None, near: str = "true",
 ) -> DataFrame:
-    """Components over all verified pairs of post(bucket, id, ...) that share a bucket.
+    """Components over all verified pairs of post(bucket, id, ...) that share a bucket. post may come in parts
+    that have no bucket in common; they are looked through one after another, to hold fewer shuffle files at a time.
 
     Emitting every pair within a bucket grows with its square, so each of `rounds` rounds
     takes one hub out of every open bucket, compares it with all members of other
@@ -153,15 +155,19 @@ def link_buckets(
     a bucket; every later pair is of their ids. sketch: adds columns to rows of post;
     near: predicate on them that every linkable pair meets. Returns (v, root) of linked vertices.
     """
-    multi = cut(post.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket"), "multi")
-    live = cut(only(post, "bucket", multi).distinct(), "live")
-    drop_cut(multi)
+    parts = []
+    for p in post if isinstance(post, list) else [post]:
+        multi = cut(p.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket"), "multi")
+        parts.append(cut(only(p, "bucket", multi).distinct(), "live"))
+        drop_cut(multi)
+    live = functools.reduce(DataFrame.unionByName, parts)
     if prepare:
         prepare(live)
     degree = cut(live.groupBy("id").agg(F.count("*").alias("degree")), "degree")
     lab = cut(live.join(degree, "id").withColumn("lab", F.col("id")), "labelled")
-    drop_cut(live, degree)
-    cols, comp = [F.col(c) for c in post.columns], None
+    drop_cut(*parts, degree)
+    names = live.columns
+    cols, comp = [F.col(c) for c in names], None
     for k in range(rounds + 1):
         if comp is not None:
             left = lab.drop("lab").join(hub.select("bucket", F.col("hub.id").alias("id")), ["bucket", "id"], "left_anti")
@@ -177,7 +183,7 @@ def link_buckets(
         if k < rounds:
             best = F.max(F.struct("degree", (-F.col("id")).alias("low"), "lab", *cols))
             hub = cut(lab.groupBy("bucket").agg(best.alias("hub")), "hub")
-            pairs = lab.alias("l").join(hub.select("bucket", "hub.lab", *[F.col(f"hub.{c}") for c in post.columns if c != "bucket"]).alias("r"), F.expr(f"l.bucket = r.bucket and l.lab <> r.lab and ({keep})"))
+            pairs = lab.alias("l").join(hub.select("bucket", "hub.lab", *[F.col(f"hub.{c}") for c in names if c != "bucket"]).alias("r"), F.expr(f"l.bucket = r.bucket and l.lab <> r.lab and ({keep})"))
         else:
             rich = cut(sketch(lab), "rich") if sketch else lab
             pairs = rich.alias("l").join(rich.alias("r"), F.expr(f"l.bucket = r.bucket and l.id < r.id and l.lab <> r.lab and ({keep}) and ({near})"))
