@@ -94,6 +94,8 @@ def list_decode(x: np.ndarray, codes: np.ndarray, count: int) -> np.ndarray:
 def _unit(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    # by a power of two, which is exact, so that no square of a large or small component leaves the doubles
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -124,10 +126,12 @@ def _filters(blocks: int, words: int, count: int, tables: int, with_vector: bool
 
 
 def _compare(own, x, ids, copies, side, lists, least):
-    """Links of one unit: ids, root of each id's tree in the unit's forest, copies linked here."""
+    """Links of one unit: ids, root of each id's tree in the unit's forest, copies linked here.
+    side: of a unit of two blocks, which block a vector is in (pairs inside a block are another unit's, also
+    where the unit's other block is empty); None in a unit of one block."""
     hit = x @ x.T >= least
     np.fill_diagonal(hit, False)
-    if side.any() and not side.all():
+    if side is not None:
         hit &= side[:, None] != side[None, :]
     i, j = np.nonzero(hit)
     if not len(i):
@@ -161,7 +165,7 @@ def _units(least: float):
             t = pa.Table.from_batches(held).combine_chunks()
             np_ = lambda c: t.column(c).to_numpy()
             lists = [np.asarray(v) for v in t.column("filters").to_pylist()]
-            side = np_("block") == key[4] if key[3] != key[4] else np.zeros(len(t), bool)
+            side = np_("block") == key[4] if key[3] != key[4] else None
             found = _compare(key[2], _unit(t.column("embedding").combine_chunks()), np_("rep"), np_("n"), side, lists, least)
             return found and pa.record_batch([pa.array(v) for v in found], ["rep", "root", "links"])
 

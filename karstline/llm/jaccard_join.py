@@ -121,7 +121,10 @@ def _each(batch: pa.RecordBatch, column: str, width: int):
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of docs(doc_id, text)."""
+    """doc_id, n_shingles, component_id, row, first: one row per row of docs(doc_id, text).
+
+    row: xxhash64 of the text, which tells rows of one id apart. first: whether this document (id and row)
+    is the smallest of its component; that of a row which links with nothing is true."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -200,10 +203,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     sketch = lambda rows: rows.join(alone.join(odd.select("id", "odd"), "id"), "id", "left")
     comp = link_buckets(post, expanded, keep, sketch=sketch, near=f"(l.odd is null or r.odd is null or {near('l.odd', 'r.odd', 'l.size', 'r.size')})")
     root = cut(unit.join(comp.withColumnRenamed("v", "unit"), "unit", "left").select(F.col("id").alias("f1"), F.coalesce("root", "unit").alias("root")), "roots")
-    known = cut(classes.join(root, "f1", "left").select("f1", "f2", "size", "rep", F.coalesce("root", "f1").alias("root")), "known")
-    low = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = cut(known.join(low, "root").select("f1", "f2", "size", "component_id"), "components")
+    known = cut(classes.join(root, "f1", "left").select("f1", "f2", "size", "rep", "first", F.coalesce("root", "f1").alias("root")), "known")
+    low = known.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("first").alias("lead"))
+    linked = cut(known.join(low, "root").select("f1", "f2", "size", "component_id", "lead"), "components")
     drop_cut(members, unit, comp, root, known, classes)
-    out = sets.select("doc_id", "size", "f1", "f2").join(linked, ["f1", "f2", "size"], "left")
+    out = sets.select("doc_id", "row", "size", "f1", "f2").join(linked, ["f1", "f2", "size"], "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
+    lead = F.coalesce((F.col("doc_id") == F.col("lead.doc_id")) & (F.col("row") == F.col("lead.row")), F.lit(True))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), "row", lead.alias("first"))

@@ -62,7 +62,7 @@ def private_data(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, d, "documents"))
+    return jaccard_join.jaccard_components(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {

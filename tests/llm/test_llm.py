@@ -71,6 +71,16 @@ def test_op1(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(500, 505)) and got[None].component_id is None
 
 
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_op1_small_blocks(spark, block):
+    """40 vectors that all link, in blocks some of which are empty; components near the ends of the doubles."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    rows = [(i, ((base + 0.01 * rng.standard_normal(16)) * (1e160 if i % 2 else 1e-160)).tolist(), 1) for i in range(40)]
+    got = cap_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=block).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 39, 0) for i in range(40)}
+
+
 def test_op1_uneven_energy(spark):
     """Pairs at a cosine just over 0.98 whose energy is spread unevenly over the dimensions."""
     rng = np.random.default_rng(3)
@@ -173,25 +183,39 @@ def test_stages_by_plain_readings(spark, docs, texts):
     assert both(out) == want and out.columns == wide.columns
     out = C.lines(spark, wide, D)
     assert both(out) == plain_lines(texts, line_dedup.WIDTHS) and out.columns == wide.columns
+    # rows of one id with other texts: a copy of document 0 and two of which nothing else has a word
+    again = [(900008, texts[0][1]), (900008, " ".join(f"solo{k}" for k in range(30))), (900008, " ".join(f"alone{k}" for k in range(30)))]
+    rows, wide_before = [*texts, *again], wide
+    wide = wide.unionByName(spark.createDataFrame([(i, t, "xx", 1, 2) for i, t in again], wide.schema))
     find, join = union_find()
     sets = []
-    for i, t in texts:
+    for k, (i, t) in enumerate(rows):
         w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t))
         s = {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({" ".join(w)} if w else set())
         for j, u in sets:
             if i is not None and s and 100 * len(s & u) >= 80 * len(s | u):
-                join(i, j)
+                join(k, j)
         if i is not None:
-            sets.append((i, s))
-    out = C.near_duplicates(spark, wide, D)
-    assert both(out) == collections.Counter((i, t) for i, t in texts if i is None or find(i) == i) and out.columns == wide.columns
+            sets.append((k, s))
+    groups, got = collections.defaultdict(set), both(C.near_duplicates(spark, wide, D))
+    for k, (i, t) in enumerate(rows):
+        groups[find(k)].add((i, t))
+    # of each group one document, of the smallest id; all rows that are equal to it in id and text
+    for members in groups.values():
+        here = [m for m in members if m in got]
+        assert len(here) == 1 and (None in {i for i, _ in members} or here[0][0] == min(i for i, _ in members))
+        assert got[here[0]] == rows.count(here[0])
+    assert sum(got.values()) == sum(rows.count(m) for g in groups.values() for m in g if m in got)
+    assert all((i, t) in got for i, t in again[1:]) and C.near_duplicates(spark, wide, D).columns == wide.columns
+    wide = wide_before
     masked = both(C.private_data(spark, wide, D))
     mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
     assert sum(masked.values()) == len(texts) and not any(re.search(mail, t) for _, t in masked)
     assert sum(t.count("<EMAIL>") * n for (_, t), n in masked.items()) == sum(len(re.findall(mail, t)) for _, t in texts)
-    packed = C.pack(spark, wide, D).collect()
-    size = collections.Counter((i, max(1, len(WORD.findall(t)))) for i, t in texts)
-    assert collections.Counter((r.doc_id, r.n_tokens) for r in packed) == size
+    clash = wide.withColumnRenamed("size", "bucket")
+    packed = C.pack(spark, clash, D).collect()
+    assert collections.Counter((r.doc_id, r.text, r.lang, r.gone, r.doc_bucket) for r in packed) == collections.Counter((r.doc_id, r.text, "xx", 1, 2) for r in docs.collect())
+    assert all(r.n_tokens == max(1, len(WORD.findall(r.text or ""))) for r in packed)
     assert all(r.padded_length >= r.n_tokens and r.slot < max(1, 8192 // r.padded_length) for r in packed)
     assert len({(r.batch_id, r.slot) for r in packed}) == len(packed)
     for name, stage in C.STAGES:
