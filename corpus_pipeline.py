@@ -2,7 +2,8 @@
 
 quality -> lines -> near_duplicates -> private_data -> packing. Stages keep every
 document that they don't reject, and the columns of documents; the last adds where
-each document is packed. Nulls, ties, empty tables and further columns are handled as
+each document is packed. A document is a row: rows that share an id and differ in their
+text are judged apart. Nulls, ties, empty tables and further columns are handled as
 the operators say.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karstline.llm import jaccard_join, line_dedup, packing, pii, quality_knn
-from karstline.llm.common import shared_dir, table
+from karstline.llm.common import cut, shared_dir, table
 
 ACCEPT = 0.7
 
@@ -40,10 +41,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of five-word shingle sets at 0.8, and all that link with none."""
+    """The first document, by id and hash of its text, of each component of five-word shingle sets at 0.8, and all that link
+    with none. Rows equal in id and text stay or go together."""
     comp = jaccard_join.jaccard_components(docs, width=5, percent=80)
-    gone = comp.where("component_id < doc_id").select("doc_id").distinct()
-    return _open(_packed(docs).join(gone, "doc_id", "left_anti"), docs.columns)
+    gone = comp.where("not first").select("doc_id", "row").distinct()
+    hashed = _packed(docs).withColumn("row", F.xxhash64(F.col("text").cast("string")))
+    return _open(hashed.join(gone, ["doc_id", "row"], "left_anti"), docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +55,14 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: bucket, padded length, batch and slot."""
-    return packing.pack(docs)
+    """Every document with all its columns, and where it goes: n_tokens, bucket, padded_length, batch_id, slot. A column of
+    docs with one of these names comes back with the prefix doc_. Rows are numbered and written first, so that each
+    row has its own place even where ids repeat."""
+    keyed = cut(_packed(docs).withColumn("__key", F.monotonically_increasing_id()), "numbered")
+    places = packing.pack(keyed.select(F.col("__key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__key")
+    added = [c for c in places.columns if c != "__key"]
+    own = [F.col(f"__doc.`{c}`").alias(f"doc_{c}" if c in added else c) for c in docs.columns]
+    return keyed.select("__key", "__doc").join(places, "__key").select(*own, *added)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
