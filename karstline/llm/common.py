@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -63,6 +63,23 @@ def drop_cut(*frames: DataFrame | None) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ranked(df: DataFrame, *order: Column | str, number: str = "rank") -> DataFrame:
+    """df, written, with the place of each row (from 0) in this order over all rows.
+
+    Ranges of the order are sorted apart, and the counts of the ranges before (a row a range) are added, so no task
+    sees all rows. Rows that are equal in all of order lie in one range: give it columns that tell rows apart."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = own.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    out = own.withColumn("__part", part).join(F.broadcast(sizes), "__part")
+    out = out.withColumn(number, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__before")
+    out._cut_path = own._cut_path
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows a record batch sent to Python: long texts make the default of 10,000
     rows too large for an executor."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_duckdb, cap_neardup, jaccard_join, line_dedup, ogg_media, packing, pii, quality_knn, quote_chat, substring_dedup
+from . import bpe_duckdb, cap_neardup, jaccard_join, line_dedup, ogg_media, packing, pii, quality_knn, quote_chat, substring_dedup, warc_zst
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,10 @@ def ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def archives(spark: SparkSession, d: str) -> DataFrame:
+    return warc_zst.round_trip(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_embedding_neardup": embedding_neardup,
     "op2_quality_classifier": quality,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_quotation_linking": quotations,
     "op9_pii": private_data,
     "op10_ngram_jaccard": ngram_jaccard,
+    "op11_warc_zst": archives,
 }
 
 #: DuckDB forms where SQL can express the result on whole tables in reasonable time; the others are tested by brute force.
@@ -104,5 +109,14 @@ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN n p ON p.doc_id = a
   WHERE 100 * p.n >= 90 * q.n AND 100 * q.n >= 90 * p.n GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
 reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(y) FROM reach WHERE x = w.doc_id), w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)
+""",
+    "op11_warc_zst": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, h, array_to_string(list_transform(range(0, 8), lambda i: list_transform([CAST('0x' || substr(h, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)],
+  lambda x: concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) % 32 + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 10) % 32 + 1, 1),
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 5) % 32 + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1)))[1]), '') AS b32 FROM p),
+t AS (SELECT h, n, max(page_id) AS top FROM d GROUP BY h, n)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, b32 AS payload_digest, CASE WHEN d.page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN d.page_id < top THEN top END AS refers_to FROM d JOIN t ON t.h = d.h AND t.n = d.n
 """,
 }
