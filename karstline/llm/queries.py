@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_duckdb, cap_neardup, jaccard_join, line_dedup, ogg_media, packing, pii, quality_knn, quote_chat, substring_dedup, warc_zst
+from . import bpe_duckdb, cap_neardup, importance, jaccard_join, line_dedup, ogg_media, packing, pii, quality_knn, quote_chat, substring_dedup, warc_zst
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -69,6 +69,11 @@ def archives(spark: SparkSession, d: str) -> DataFrame:
     return warc_zst.round_trip(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def importance_draw(spark: SparkSession, d: str) -> DataFrame:
+    out = importance.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_embedding_neardup": embedding_neardup,
     "op2_quality_classifier": quality,
@@ -81,8 +86,14 @@ QUERIES = {
     "op9_pii": private_data,
     "op10_ngram_jaccard": ngram_jaccard,
     "op11_warc_zst": archives,
+    "op12_importance_resampling": importance_draw,
 }
 
+#: crc32 of the bytes of a text of which `hex` is the hexadecimal form, by a table of 256 remainders in the CTE crc_table(t).
+_CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1))) AS v FROM range(0, 256) r(i)))"""
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(hex) // 2), lambda k: CAST('0x' || substr(hex, CAST(2 * k + 1 AS INTEGER), 2) AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295)"""
+
 #: DuckDB forms where SQL can express the result on whole tables in reasonable time; the others are tested by brute force.
 ORACLE = {
     "op1_embedding_neardup": """
@@ -118,5 +129,19 @@ d AS (SELECT page_id, strlen(html) AS n, h, array_to_string(list_transform(range
 t AS (SELECT h, n, max(page_id) AS top FROM d GROUP BY h, n)
 SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, b32 AS payload_digest, CASE WHEN d.page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN d.page_id < top THEN top END AS refers_to FROM d JOIN t ON t.h = d.h AND t.n = d.n
+""",
+    "op12_importance_resampling": f"""
+WITH {_CRC_TABLE},
+w AS (SELECT 0 AS target, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+f AS (SELECT target, doc_id, unnest(ws) AS x FROM w),
+b AS (SELECT x, {_CRC} % 10000 AS bucket FROM (SELECT DISTINCT x, hex(x) AS hex FROM f), crc_table),
+c AS (SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM f JOIN b USING (x) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM c) + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM c) + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM c),
+d AS (SELECT w.doc_id, len(ws) AS n, coalesce(CAST(floor(m.total / len(ws)) AS BIGINT), 0) AS weight FROM w LEFT JOIN
+  (SELECT doc_id, CAST(sum(gain) AS DOUBLE) AS total FROM f JOIN b USING (x) JOIN g USING (bucket) WHERE target = 0 GROUP BY doc_id) m USING (doc_id) WHERE target = 0),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS every FROM e WHERE n >= 20)
+SELECT e.doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 10 * every // 100 THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)
 """,
 }
