@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_duckdb, cap_neardup, importance, jaccard_join, line_dedup, ogg_media, packing, pii, quality_knn, quote_chat, substring_dedup, warc_zst
+from . import bpe_duckdb, cap_neardup, importance, jaccard_join, line_dedup, ogg_media, packing, pii, prefix_trie, quality_knn, quote_chat, substring_dedup, warc_zst
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,10 @@ def importance_draw(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def conversation_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.shared_heads(*prefix_trie.numbered(table(spark, d, "conversations"))))
+
+
 QUERIES = {
     "op1_embedding_neardup": embedding_neardup,
     "op2_quality_classifier": quality,
@@ -87,6 +91,7 @@ QUERIES = {
     "op10_ngram_jaccard": ngram_jaccard,
     "op11_warc_zst": archives,
     "op12_importance_resampling": importance_draw,
+    "op13_prefix_trie": conversation_prefixes,
 }
 
 #: crc32 of the bytes of a text of which `hex` is the hexadecimal form, by a table of 256 remainders in the CTE crc_table(t).
@@ -143,5 +148,22 @@ d AS (SELECT w.doc_id, len(ws) AS n, coalesce(CAST(floor(m.total / len(ws)) AS B
 e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS every FROM e WHERE n >= 20)
 SELECT e.doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 10 * every // 100 THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)
+""",
+    "op13_prefix_trie": f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id, hex(CAST(conv_id AS VARCHAR)) AS hex FROM t), crc_table),
+r AS (SELECT c.conv_id, 0 AS part, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h UNION ALL SELECT c.conv_id, 1, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE t.pos >= c.h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM r),
+m AS (SELECT conv_id, depth, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS path, text FROM d UNION ALL SELECT conv_id, 0, '', NULL FROM c),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(len(regexp_extract_all(any_value(text), '[^\\x20\\x09-\\x0D]+')), 0) AS saved FROM m GROUP BY depth, path),
+up AS (SELECT n.conv_id, n.depth, p.conv_id AS parent FROM n JOIN m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1 JOIN n p ON p.depth = m.depth AND p.path = m.path),
+k AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n FROM up GROUP BY ALL),
+under AS (SELECT v.conv_id, v.depth, w.saved, CASE WHEN k.n IS NULL THEN 1 ELSE 0 END AS leaf FROM n w LEFT JOIN k USING (conv_id, depth)
+  JOIN m ON m.conv_id = w.conv_id AND m.depth <= w.depth JOIN n v ON v.depth = m.depth AND v.path = m.path),
+s AS (SELECT conv_id, depth, sum(leaf) AS leaves, sum(saved) AS saved FROM under GROUP BY conv_id, depth),
+z AS (SELECT depth, path, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM m JOIN (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id) USING (conv_id, depth) GROUP BY depth, path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.parent AS parent_conv_id, n.n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+sha256(coalesce(ids, '')) AS ends_sha256 FROM n LEFT JOIN up USING (conv_id, depth) LEFT JOIN k ON k.conv_id = n.conv_id AND k.depth = n.depth JOIN s ON s.conv_id = n.conv_id AND s.depth = n.depth LEFT JOIN z ON z.depth = n.depth AND z.path = n.path
 """,
 }
