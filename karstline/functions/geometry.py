@@ -166,3 +166,36 @@ def from_matrix4(m: Column) -> Pose:
 def camera_pose(qvec_wxyz: Column, tvec: Column) -> Pose:
     """World-from-camera pose of a stored camera-from-world rotation (w first) and translation."""
     return invert(pose(quat(qvec_wxyz[1], qvec_wxyz[2], qvec_wxyz[3], qvec_wxyz[0]), vec(tvec[0], tvec[1], tvec[2])))
+
+
+def best_rotation(s: dict[str, Column], bound: Column) -> Column:
+    """[x, y, z, w], not yet of length 1, of the rotation R that maximises the sum of b . R a, from s["xy"] = sum of a.x * b.y and so on. Keep it in a
+    column of its own before using its parts, else it is computed once for each use.
+
+    bound: at least the largest magnitude that sum can have, as sqrt(sum |a|^2 * sum |b|^2) is; where it is 0 nothing turns. The quaternion is the main eigenvector of a symmetric
+    4 x 4 matrix of these sums. With bound added on its diagonal no eigenvalue is negative, and squaring the matrix again and again, at a trace of 1, leaves the projection on the
+    main eigenspace: of any dimension, so that ties (points on a line or in a plane) need no case of their own; its largest column is an eigenvector."""
+    zero = F.lit(0.0)
+    add = lambda a, b: s[a] + s[b]
+    sub = lambda a, b: s[a] - s[b]
+    half = [
+        [s["xx"] + s["yy"] + s["zz"], sub("yz", "zy"), sub("zx", "xz"), sub("xy", "yx")],
+        [zero, s["xx"] - s["yy"] - s["zz"], add("xy", "yx"), add("zx", "xz")],
+        [zero, zero, s["yy"] - s["xx"] - s["zz"], add("yz", "zy")],
+        [zero, zero, zero, s["zz"] - s["xx"] - s["yy"]],
+    ]
+    n = F.array(*[half[min(i, j)][max(i, j)] + (bound if i == j else zero) for i in range(4) for j in range(4)])
+
+    def squared(m: Column, _: Column) -> Column:
+        trace = m[0] + m[5] + m[10] + m[15]
+        return F.array(*[sum(m[4 * i + k] * m[4 * k + j] for k in range(4)) / (trace * trace) for i in range(4) for j in range(4)])
+
+    def column(m: Column) -> Column:
+        top = F.greatest(m[0], m[5], m[10], m[15])
+        out = None
+        for j in range(4):
+            c = F.array(*[m[4 * i + j] for i in (1, 2, 3, 0)])
+            out = F.when(m[5 * j] >= top, c) if out is None else out.when(m[5 * j] >= top, c)
+        return out
+
+    return F.when(bound > 0, F.aggregate(F.sequence(F.lit(1), F.lit(48)), n, squared, column)).otherwise(F.array(zero, zero, zero, F.lit(1.0)))
