@@ -100,3 +100,8 @@ def read_task_graph(graphs: DataFrame, job: str = "job_id") -> tuple[DataFrame,
     """(tasks, edges) of the documents of task_graph_json."""
     g = graphs.select(job, F.from_json("graph", "dependencies array<struct<parent long, child long>>, tasks array<struct<task_id long, status string>>").alias("g"))
     return g.select(job, F.inline("g.tasks")), g.select(job, F.inline("g.dependencies"))
+
+
+def read_task_spec(text: Column) -> Column:
+    """A task's specification (resources.cpu_cores, tool, inputs); null where the text is no JSON object."""
+    return F.from_json(text, "resources struct<cpu_cores long>, tool string, inputs array<string>")

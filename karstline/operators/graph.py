@@ -53,15 +53,38 @@ def ancestors(tree: DataFrame, most_levels: int = 64) -> DataFrame:
     raise ValueError(f"deeper than {most_levels} levels, or a cycle")
 
 
-def refused_frames(known: DataFrame, batch: DataFrame) -> DataFrame:
-    """frame_id, error of the frames of a batch that can't be added: 'exists' if the id is known or comes twice, else
-    'parent_not_found' if the parent is neither known nor in the batch."""
-    ids = known.select("frame_id")
-    twice = batch.groupBy("frame_id").agg(F.count("*").alias("__n"))
-    have = ids.unionByName(batch.select("frame_id")).distinct().select(F.col("frame_id").alias("parent_id"), F.lit(True).alias("__parent"))
-    out = batch.join(ids.distinct().withColumn("__hit", F.lit(True)), "frame_id", "left").join(twice, "frame_id").join(have, "parent_id", "left")
-    error = F.when(F.col("__hit") | (F.col("__n") > 1), "exists").when(F.col("parent_id").isNotNull() & F.col("__parent").isNull(), "parent_not_found")
-    return out.select("frame_id", error.alias("error")).where("error is not null")
+def add_frames(known: DataFrame, batch: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused with error) of batch(frame_id, parent_id, ...) as if its rows were added one after another in the order of `seq`, which tells rows apart.
+
+    A row is refused with 'exists' if its id is known or was accepted before, else with 'parent_not_found' if its parent is neither known nor accepted before it. A refused row takes nothing:
+    a later one may have its id, and its children find no parent. Each round decides all rows that wait for nothing: the first open row of an id whose parent
+    is there, or can't come in time any more. Rounds are as many as the batch has levels; the first open row always is one of those decided."""
+    names = batch.columns
+    place = F.col(seq).cast("long").alias("__seq")
+    todo = written(batch.select("frame_id", "parent_id", place))
+    taken = known.select("frame_id", F.lit(-(1 << 63)).cast("long").alias("at")).distinct()
+    decided = []
+    while not todo.isEmpty():
+        first = todo.groupBy("frame_id").agg(F.min("__seq").alias("first"))
+        own = taken.select("frame_id", F.lit(True).alias("there"))
+        up = taken.select(F.col("frame_id").alias("parent_id"), F.col("at").alias("parent_at"))
+        open_up = first.select(F.col("frame_id").alias("parent_id"), F.col("first").alias("parent_open"))
+        j = todo.join(first, "frame_id").join(own, "frame_id", "left").join(up, "parent_id", "left").join(open_up, "parent_id", "left")
+        before = lambda c: F.coalesce(F.col(c) < F.col("__seq"), F.lit(False))
+        turn = F.col("__seq") == F.col("first")
+        what = F.when(F.col("there"), "exists").when(turn & (F.col("parent_id").isNull() | before("parent_at")), "").when(turn & ~before("parent_open"), "parent_not_found")
+        now = written(j.select("frame_id", "parent_id", "__seq", what.alias("error")))
+        forget(todo)
+        taken = taken.unionByName(now.where("error = ''").select("frame_id", F.col("__seq").alias("at")))
+        decided.append(now.where("error is not null").select("__seq", "error"))
+        todo = written(now.where("error is null").select("frame_id", "parent_id", "__seq"))
+    if not decided:
+        return batch.limit(0), batch.limit(0).withColumn("error", F.lit(None).cast("string"))
+    every = decided[0]
+    for x in decided[1:]:
+        every = every.unionByName(x)
+    out = batch.withColumn("__seq", F.col(seq).cast("long")).join(every, "__seq")
+    return out.where("error = ''").select(*names), out.where("error <> ''").select(*names, "error")
 
 
 def frame_problems(tree: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -111,17 +134,46 @@ def transforms_to_root(tree: DataFrame, most_levels: int = 64) -> DataFrame:
     raise ValueError(f"deeper than {most_levels} levels")
 
 
-def frame_transform(to_root: DataFrame, ancestors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs(frm, dst) with frm_from_dst: identity if equal, known if one is an ancestor of the other, else error 'disconnected'."""
-    a = to_root.select(F.col("frame_id").alias("frm"), F.col("pose").alias("pa"))
-    b = to_root.select(F.col("frame_id").alias("dst"), F.col("pose").alias("pb"))
-    line = ancestors.select(F.col("frame_id").alias("x"), F.col("ancestor_id").alias("y"))
-    down = line.select(F.col("x").alias("dst"), F.col("y").alias("frm"), F.lit(True).alias("below"))
-    above = line.select(F.col("x").alias("frm"), F.col("y").alias("dst"), F.lit(True).alias("above"))
-    out = pairs.join(a, "frm").join(b, "dst").join(down, ["frm", "dst"], "left").join(above, ["frm", "dst"], "left")
-    ok = (F.col("frm") == F.col("dst")) | F.coalesce("below", F.lit(False)) | F.coalesce("above", F.lit(False))
-    rel = g.col(g.compose(g.invert(F.col("pa")), F.col("pb")))
-    return out.select("frm", "dst", F.when(ok, rel).alias("pose"), F.when(~ok, "disconnected").alias("error"))
+def climbs(tree: DataFrame, start: DataFrame, most_levels: int = 10_000) -> DataFrame:
+    """frame_id, ancestor_id, pose (ancestor from frame) of start(frame_id) with each frame above it, in rounds that climb one level. A frame that is met
+    again ends its climb, so cycles end too; the chain may also end at an unknown parent."""
+    edge = tree.where("parent_id is not null").select(F.col("frame_id").alias("ancestor_id"), "parent_id", F.col("pose").alias("own"))
+    there = tree.select(F.col("frame_id").alias("ancestor_id"))
+    one = F.struct(F.struct(*[F.lit(v).alias(c) for c, v in zip("xyzw", (0.0, 0.0, 0.0, 1.0))]).alias("q"), F.struct(*[F.lit(0.0).alias(c) for c in "xyz"]).alias("t"))
+    step = start.select("frame_id", F.col("frame_id").alias("ancestor_id"), one.alias("pose")).distinct()
+    out = None
+    for _ in range(most_levels):
+        up = step.join(edge, "ancestor_id").select("frame_id", F.col("parent_id").alias("ancestor_id"), g.col(g.compose(F.col("own"), F.col("pose"))).alias("pose"))
+        up = up.join(there, "ancestor_id", "left_semi").where("ancestor_id <> frame_id")
+        step = up if out is None else up.join(out.select("frame_id", "ancestor_id"), ["frame_id", "ancestor_id"], "left_anti")
+        step = written(step.select("frame_id", "ancestor_id", "pose"))
+        if step.isEmpty():
+            return step if out is None else out
+        out = step if out is None else out.unionByName(step)
+    raise ValueError(f"deeper than {most_levels} levels")
+
+
+def frame_transform(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(frm, dst) with pose, frm_from_dst, and error: one row a pair, whatever is asked.
+
+    Equal ids give the identity, known or not. An unknown id is 'not_found'. If frm stands above dst, or dst above frm, the pose is that of the chain between; it needs no root. Else 'cycle' if
+    the climb from dst, or then from frm, goes round, and 'disconnected' otherwise, siblings included."""
+    asked = pairs.select("frm", "dst").distinct()
+    ends = asked.select(F.col("frm").alias("frame_id")).union(asked.select("dst")).distinct()
+    line = climbs(tree, ends.join(tree.select("frame_id"), "frame_id", "left_semi"))
+    round_ = frame_problems(tree).where("problem = 'cycle'").select("frame_id")
+    flag = lambda df, key, name: df.select(F.col("frame_id").alias(key), F.lit(True).alias(name)).distinct()
+    out = asked
+    for key in ("frm", "dst"):
+        out = out.join(flag(tree, key, f"has_{key}"), key, "left").join(flag(round_, key, f"round_{key}"), key, "left")
+    out = out.join(line.toDF("dst", "frm", "down"), ["frm", "dst"], "left").join(line.toDF("frm", "dst", "up"), ["frm", "dst"], "left")
+    same = F.col("frm") == F.col("dst")
+    error = F.when(same, None).when(F.col("has_frm").isNull() | F.col("has_dst").isNull(), "not_found").when(F.col("down").isNotNull(), None).when(F.col("round_dst"), "cycle")
+    error = error.when(F.col("up").isNotNull(), None).when(F.col("round_frm"), "cycle").otherwise("disconnected")
+    one = g.pose(g.quat(0, 0, 0, 1), g.vec(0, 0, 0))
+    out = out.withColumn("error", error)
+    pose = F.when(same, g.col(one)).when(F.col("error").isNull() & F.col("down").isNotNull(), F.col("down")).when(F.col("error").isNull(), g.col(g.invert(F.col("up"))))
+    return pairs.join(out.select("frm", "dst", pose.alias("pose"), "error"), ["frm", "dst"])
 
 
 def closure(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000) -> DataFrame:

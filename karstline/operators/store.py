@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 def put(index: DataFrame, incoming: DataFrame, hash_col: str = "content_hash") -> tuple[DataFrame, DataFrame]:
     """(rows to append, incoming with flag dedup): content that is known, or came earlier in the batch by seq, is not written again."""
-    w = Window.partitionBy(hash_col).orderBy("seq")
-    known = index.select(hash_col).distinct().withColumn("__hit", F.lit(True))
-    marked = incoming.withColumn("__rn", F.row_number().over(w)).join(known, hash_col, "left")
-    marked = marked.withColumn("dedup", F.coalesce("__hit", F.lit(False)) | (F.col("__rn") > 1)).drop("__hit", "__rn")
+    # the first of each content is found before anything is joined, so a payload that a third of all rows hold is not sorted by one task
+    first = incoming.groupBy(hash_col).agg(F.min("seq").alias("__first"))
+    first = first.join(index.select(hash_col).distinct().withColumn("__hit", F.lit(True)), hash_col, "left")
+    marked = incoming.join(first, hash_col)
+    marked = marked.withColumn("dedup", F.coalesce("__hit", F.lit(False)) | (F.col("seq") > F.col("__first"))).drop("__hit", "__first")
     return marked.where("not dedup").drop("dedup"), marked
 
 
@@ -75,11 +76,13 @@ def _once(df: DataFrame, keys: list[str], seq: str | None) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(order).alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest]) if rest else df.distinct()
 
 
-def append_unique(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(next snapshot, refused rows): a key that is there already, or twice in new, is refused."""
-    w = Window.partitionBy(*keys)
-    marked = new.withColumn("__n", F.count("*").over(w)).join(old.select(*keys).withColumn("__hit", F.lit(True)), keys, "left")
-    bad = F.coalesce("__hit", F.lit(False)) | (F.col("__n") > 1)
+def append_unique(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> tuple[DataFrame, DataFrame]:
+    """(next snapshot, refused rows) of rows added one after another in the order of `seq`, which tells the rows of a key apart: a key that is
+    there already is refused, of several new rows of a key the first comes in."""
+    first = new.groupBy(*keys).agg(F.min(seq).alias("__first"))
+    first = first.join(old.select(*keys).distinct().withColumn("__hit", F.lit(True)), keys, "left")
+    marked = new.join(first, keys)
+    bad = F.coalesce("__hit", F.lit(False)) | (F.col(seq) > F.col("__first"))
     return old.unionByName(marked.where(~bad).select(*old.columns)), marked.where(bad).select(*new.columns)
 
 
@@ -110,15 +113,26 @@ def new_scene_versions(scenes: DataFrame, versions: DataFrame, requests: DataFra
     return versions.unionByName(fresh.select(*versions.columns)), moved.select(*scenes.columns), refused
 
 
-def find_or_create_scenes(scenes: DataFrame, projects: DataFrame, new_id: Column) -> tuple[DataFrame, DataFrame]:
-    """(scene_id of each project, rows to append): its open scene with the smallest id, else a new one."""
+def find_or_create_scenes(scenes: DataFrame, projects: DataFrame, new_id: Column, created_at: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scene_id of each project, scenes to append, versions to append): a project's open scene with the smallest id, else a new one with its first version,
+    which is the new scene's current one. A version's id is its scene's id and ':1'."""
     have = scenes.where("status = 'open'").groupBy("project_id").agg(F.min("scene_id").alias("__s"))
     out = projects.join(have, "project_id", "left")
     every = out.select("project_id", F.coalesce("__s", new_id).alias("scene_id"), F.col("__s").isNull().alias("created"))
-    return every, every.where("created").select("scene_id", "project_id", F.lit("open").alias("status"))
+    fresh = every.where("created")
+    first = F.concat(F.col("scene_id").cast("string"), F.lit(":1"))
+    at = created_at if created_at is not None else F.lit(0).cast("long")
+    versions = fresh.select(first.alias("version_id"), "scene_id", F.lit(1).cast("long").alias("version"), F.lit(None).cast("string").alias("parent_version"), at.alias("created_at_ns"))
+    return every, fresh.select("scene_id", "project_id", F.lit("open").alias("status"), first.alias("current_version")), versions
+
+
+def collect_garbage(stored: DataFrame, index: DataFrame, key: str, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(what stays, what goes) of stored payloads that the index does not hold; a dry run keeps all and only says what would go."""
+    gone = unreferenced(stored, index, key)
+    return (stored if dry_run else stored.join(index.select(key).distinct(), key, "left_semi")), gone
 
 
 def manifest_json(df: DataFrame) -> Column:
-    """JSON of a manifest row with sorted keys; an empty config hash is null and stays in the text."""
-    cols = {c: F.col(c) for c in df.columns} | {"config_hash": F.nullif(F.col("config_hash"), F.lit(""))}
+    """JSON of a manifest row with sorted keys; config_hash is written as configuration_hash, null where it is empty, and stays in the text."""
+    cols = {c: F.col(c) for c in df.columns if c != "config_hash"} | {"configuration_hash": F.nullif(F.col("config_hash"), F.lit(""))}
     return F.to_json(F.struct(*[cols[c].alias(c) for c in sorted(cols)]), {"ignoreNullFields": "false"})

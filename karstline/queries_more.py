@@ -15,7 +15,7 @@ from .queries import _CLOSURE, _TO_ROOT, Q, SQL, _tree, query, uuid5_sql
 __all__ = ["Q", "SQL"]
 
 
-def _lookup(name: str, table, sql_table: str, columns: list[str], order: list[str], **equal) -> None:
+def _lookup(name: str, table, sql_table: str, columns: list[str], order: list, **equal) -> None:
     """Register a read by equality: scene.lookup over a domain table."""
     where = " AND ".join(f"{k} = {v!r}" for k, v in equal.items())
 
@@ -41,7 +41,7 @@ CLOSURES = _of(
 RESULTS = _of("orders", "o_orderkey AS result_id", "o_custkey % 100 AS trajectory_id", "o_orderdate AS created_at", "CAST(o_totalprice AS DOUBLE) AS initial_error", "CAST(o_totalprice AS DOUBLE) * (o_orderkey % 10) / 10 AS final_error")
 STAGES = _of("lineitem", "l_orderkey AS manifest_id", "l_linenumber AS sequence", "l_returnflag AS stage", "l_suppkey AS task_id")
 MANIFESTS = _of("orders", "o_orderkey AS manifest_id", "o_orderdate AS created_at", "o_orderstatus AS status")
-FEATURES = _of("embeddings", "vec_id AS feature_set_id", "vec_id % 200 AS frame_id", "label AS detector")
+FEATURES = _of("embeddings", "vec_id AS feature_set_id", "vec_id % 200 AS frame_id", "label AS detector", "CASE WHEN vec_id % 3 = 0 THEN 'binary' ELSE 'float' END AS descriptor_type")
 SENSORS = _of("supplier", "s_suppkey AS sensor_id", "s_nationkey AS rig_id")
 CACHE = _of("part", "p_partkey AS cache_key", "p_size AS task_id", "p_type AS content_hash")
 
@@ -49,7 +49,7 @@ _lookup("frames_all", fx.frames, "frames", ["frame_id", "scene_id", "timestamp_n
 _lookup("frames_by_session", fx.frames, "frames", ["frame_id", "timestamp_ns", "sequence_index"], scene.FRAME_ORDER, session_id=11010)
 _lookup("scene_version_by_id", VERSIONS[0], VERSIONS[1], ["version_id", "scene_id"], ["version_id"], version_id=7)
 _lookup("scene_versions_by_scene", VERSIONS[0], VERSIONS[1], ["version_id", "created_at"], ["created_at", "version_id"], scene_id=7)
-_lookup("feature_sets_by_frame", FEATURES[0], FEATURES[1], ["feature_set_id", "detector"], ["detector", "feature_set_id"], frame_id=17)
+_lookup("feature_sets_by_frame", FEATURES[0], FEATURES[1], ["feature_set_id", "detector", "descriptor_type"], ["detector", "descriptor_type", "feature_set_id"], frame_id=17)
 _lookup("reconstructions_by_scene", fx.reconstructions, "reconstructions", ["reconstruction_id", "status"], ["created_at", "reconstruction_id"], scene_id=7)
 _lookup("trajectories_by_session", fx.trajectories, "trajectories", ["trajectory_id", "status"], ["created_at", "trajectory_id"], session_id=7)
 _lookup("pose_graphs_by_trajectory", GRAPHS[0], GRAPHS[1], ["pose_graph_id", "scene_id"], ["created_at", "pose_graph_id"], trajectory_id=7)
@@ -61,7 +61,7 @@ _lookup("optimization_results_by_trajectory", RESULTS[0], RESULTS[1], ["result_i
 _lookup("tasks_by_job", fx.tasks, "tasks", ["task_id", "status"], ["task_id"], job_id=7)
 _lookup("runs_by_task", fx.task_runs, "task_runs", ["order_id", "attempt"], ["attempt", "order_id"], task_id=7)
 _lookup("cache_entry_by_key", CACHE[0], CACHE[1], ["cache_key", "content_hash"], ["cache_key"], cache_key=7)
-_lookup("manifest_ids", MANIFESTS[0], MANIFESTS[1], ["manifest_id", "created_at"], ["created_at", "manifest_id"])
+_lookup("manifest_ids", MANIFESTS[0], MANIFESTS[1], ["manifest_id", "created_at"], [F.col("created_at").desc(), "manifest_id"])
 
 
 @query("SELECT c_custkey * 1000 + 10 AS session_id, EXISTS (SELECT 1 FROM frames f WHERE f.session_id = c_custkey * 1000 + 10) AS known FROM customer")
@@ -81,10 +81,23 @@ def scene_by_project(spark, d):
     return scene.latest(SCENES[0](spark, d), ["project_id"], [F.col("scene_id").asc()], "status = 'open'").select("project_id", "scene_id")
 
 
-@query("SELECT session_id, sequence_index, frame_id FROM frames JOIN ev ON event_id = frame_id WHERE event_type = 'error'")
+@query("""SELECT session_id, sequence_index, frame_id, timestamp_ns + 5 AS rejected_at_ns FROM frames JOIN ev ON event_id = frame_id WHERE event_type = 'error' AND session_id // 1000 % 4 = 1""")
 def rejections_by_session(spark, d):
+    """Audit rows of the sessions that are asked for, by place in the session, then by time of the rejection."""
     bad = fx.observations(spark, d).where("type = 'imu'").select("frame_id")
-    return scene.lookup(fx.frames(spark, d).join(bad, "frame_id", "left_semi"), ["session_id", "sequence_index"]).select("session_id", "sequence_index", "frame_id")
+    log = fx.frames(spark, d).join(bad, "frame_id", "left_semi").withColumn("rejected_at_ns", F.col("timestamp_ns") + 5)
+    asked = log.where("session_id div 1000 % 4 = 1").select("session_id").distinct()
+    return scene.lookup(log.join(asked, "session_id", "left_semi"), ["session_id", "sequence_index", "rejected_at_ns"]).select("session_id", "sequence_index", "frame_id", "rejected_at_ns")
+
+
+@query("""SELECT task_id, status, p_size AS cpu_cores, p_brand AS tool, len(p_type) AS n_inputs FROM tasks JOIN part ON p_partkey = task_id WHERE job_id = 7""")
+def task_specs_by_job(spark, d):
+    """The specification that a job's tasks carry as JSON, decoded."""
+    spec = F.to_json(F.struct(F.struct(F.col("p_size").alias("cpu_cores")).alias("resources"), F.col("p_brand").alias("tool"), F.split("p_type", "").alias("inputs")))
+    specs = fx.raw(spark, d, "part").select(F.col("p_partkey").cast("long").alias("task_id"), spec.alias("spec_json"))
+    rows = scene.lookup(fx.tasks(spark, d), ["task_id"], job_id=7).join(specs, "task_id")
+    out = documents.read_task_spec(F.col("spec_json"))
+    return rows.select("task_id", "status", out["resources"]["cpu_cores"].alias("cpu_cores"), out["tool"].alias("tool"), F.size(out["inputs"]).alias("n_inputs"))
 
 
 @query(f"SELECT trajectory_id, pose_graph_id FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY created_at DESC, pose_graph_id DESC) AS rn FROM {GRAPHS[1]}) WHERE rn = 1")
@@ -130,14 +143,25 @@ def update_repeated_sensors(spark, d):
     return store.update_fields(old, new, "sensor_id", seq="seq")
 
 
-@query("""SELECT s_suppkey AS sensor_id, 'refused' AS outcome FROM supplier, (VALUES (1), (2)) v(k) WHERE s_suppkey % 3 = 0 AND (k = 1 OR s_suppkey % 2 = 0) UNION ALL
-SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'refused' ELSE 'added' END FROM supplier, (VALUES (1), (2)) v(k) WHERE s_suppkey % 3 <> 0 AND (k = 1 OR s_suppkey % 2 = 0)""")
+@query("""SELECT sensor_id, rig_id, CASE WHEN sensor_id % 3 = 0 OR n > 1 THEN 'refused' ELSE 'added' END AS outcome FROM
+(SELECT l_suppkey AS sensor_id, l_partkey AS rig_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem WHERE l_quantity < 6)""")
 def register_sensors(spark, d):
-    s = SENSORS[0](spark, d)
-    batch = s.unionByName(s.where("sensor_id % 2 = 0"))
-    snapshot, refused = store.append_unique(s.where("sensor_id % 3 = 0"), batch, ["sensor_id"])
-    added = snapshot.where("sensor_id % 3 <> 0").withColumn("outcome", F.lit("added"))
-    return added.select("sensor_id", "outcome").unionByName(refused.select("sensor_id", F.lit("refused").alias("outcome")))
+    """Every registration of a log: the first of a sensor that is not there yet comes in, all others are refused."""
+    known = SENSORS[0](spark, d).where("sensor_id % 3 = 0")
+    log = fx.raw(spark, d, "lineitem").where("l_quantity < 6").selectExpr("l_suppkey AS sensor_id", "l_partkey AS rig_id", "l_orderkey * 10 + l_linenumber AS seq")
+    snapshot, refused = store.append_unique(known.select("sensor_id", "rig_id", F.lit(0).alias("seq")), log, ["sensor_id"], "seq")
+    added = snapshot.where("sensor_id % 3 <> 0")
+    return added.select("sensor_id", "rig_id", F.lit("added").alias("outcome")).unionByName(refused.select("sensor_id", "rig_id", F.lit("refused").alias("outcome")))
+
+
+@query("""SELECT count(*) FILTER (event_id % 3 = 0 OR n = 1) AS stays, count(*) AS every FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id % 3 = 0, user_id, k ORDER BY event_id) AS n FROM ev)""")
+def observations_inserted(spark, d):
+    """A batch of observations with repeated (sensor, k) keys against an empty table: how many come in, of how many."""
+    e = fx.events(spark, d)
+    keyed = e.select(F.when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("own"), F.when(F.col("event_id") % 3 != 0, F.struct("user_id", "k")).alias("shared"), "event_id")
+    keyed = keyed.select(F.xxhash64("own", "shared.user_id", "shared.k").alias("observation_id"), "event_id")
+    new, _ = store.append_unique(keyed.limit(0), keyed, ["observation_id"], "event_id")
+    return new.agg(F.count("*").alias("stays")).crossJoin(e.agg(F.count("*").alias("every")))  # one row each
 
 
 @query("SELECT l_partkey AS input, l_suppkey AS output, max(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY l_partkey, l_suppkey")
@@ -145,11 +169,35 @@ def dependency_edges_replayed(spark, d):
     return store.keep_last(fx.raw(spark, d, "lineitem").selectExpr("l_partkey AS input", "l_suppkey AS output", "l_orderkey * 10 + l_linenumber AS seq"), ["input", "output"])
 
 
-@query(f"""SELECT c_custkey % 8 AS project_id, coalesce(min(s.scene_id), c_custkey % 8 + 900) AS scene_id, min(s.scene_id) IS NULL AS created FROM customer
-LEFT JOIN {SCENES[1]} s ON s.project_id = c_custkey % 8 AND s.status = 'open' GROUP BY c_custkey % 8""")
-def scenes_found_or_created(spark, d):
+_FOUND = f"""SELECT c_custkey % 8 AS project_id, coalesce(min(s.scene_id), c_custkey % 8 + 900) AS scene_id, min(s.scene_id) IS NULL AS created FROM customer
+LEFT JOIN {SCENES[1]} s ON s.project_id = c_custkey % 8 AND s.status = 'open' GROUP BY c_custkey % 8"""
+
+
+def _found(spark, d):
     asked = fx.raw(spark, d, "customer").selectExpr("c_custkey % 8 AS project_id").distinct()
-    return store.find_or_create_scenes(SCENES[0](spark, d), asked, F.col("project_id") + 900)[0]
+    return store.find_or_create_scenes(SCENES[0](spark, d), asked, F.col("project_id") + 900)
+
+
+@query(_FOUND)
+def scenes_found_or_created(spark, d):
+    return _found(spark, d)[0]
+
+
+@query(f"SELECT scene_id || ':1' AS version_id, scene_id, 1::BIGINT AS version, NULL AS parent_version, project_id, 'open' AS status FROM ({_FOUND}) WHERE created")
+def first_scene_versions(spark, d):
+    """Versions that come with new scenes, each the current one of its scene."""
+    _, scenes, versions = _found(spark, d)
+    both = versions.join(scenes.withColumnRenamed("current_version", "version_id"), ["scene_id", "version_id"])
+    return both.select("version_id", "scene_id", "version", "parent_version", "project_id", "status")
+
+
+@query("""SELECT content_hash, count(*) AS instances, content_hash IN (SELECT content_hash FROM artifacts WHERE artifact_id % 5 <> 1) AS stays FROM artifacts GROUP BY content_hash""")
+def garbage_collected(spark, d):
+    """What is stored after a collection, and what is gone."""
+    a = fx.artifacts(spark, d)
+    stored = a.groupBy("content_hash").agg(F.count("*").alias("instances"))
+    stays, gone = store.collect_garbage(stored, a.where("artifact_id % 5 <> 1"), "content_hash")
+    return stays.withColumn("stays", F.lit(True)).unionByName(gone.withColumn("stays", F.lit(False)))
 
 
 @query("""SELECT event_id, EXISTS (SELECT 1 FROM documents WHERE doc_id = event_id % 1500) AS stored FROM events""")
@@ -205,25 +253,59 @@ def frame_graph_validation(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query("""SELECT 's' || s_suppkey AS frame_id, CASE WHEN s_suppkey % 4 = 0 THEN 'exists' ELSE 'parent_not_found' END AS error FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 5 = 1""")
+# Frames in a shuffled order: parents in the batch or before it, unknown ones, repeated ids. The SQL adds row after row to a list of ids.
+_BATCH = """, batch AS (SELECT row_number() OVER (ORDER BY (k * 7919) % 10007, k, c) AS i, 's' || k AS frame_id,
+CASE WHEN (k + c) % 11 = 1 THEN 'nowhere' WHEN (k + c) % 13 = 2 THEN NULL WHEN (k + c) % 3 = 0 THEN 's' || (k // 2) ELSE 'n' || ((k + c) % 25) END AS parent_id
+FROM (SELECT s_suppkey AS k FROM supplier), (VALUES (0), (1)) v(c) WHERE c = 0 OR k % 3 = 1),
+steps(i, ids, frame_id, parent_id, error) AS (SELECT 0::BIGINT, list_concat(['root'], (SELECT list('n' || n_nationkey) FROM nation WHERE n_nationkey < 20)), NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR UNION ALL
+SELECT b.i, CASE WHEN list_contains(ids, b.frame_id) OR (b.parent_id IS NOT NULL AND NOT list_contains(ids, b.parent_id)) THEN ids ELSE list_append(ids, b.frame_id) END, b.frame_id, b.parent_id,
+CASE WHEN list_contains(ids, b.frame_id) THEN 'exists' WHEN b.parent_id IS NOT NULL AND NOT list_contains(ids, b.parent_id) THEN 'parent_not_found' END FROM steps s JOIN batch b ON b.i = s.i + 1) """
+
+
+def _added(spark, d):
+    n, k = F.col("k") + F.col("c"), F.col("k")
+    up = F.when(n % 11 == 1, "nowhere").when(n % 13 == 2, None).when(n % 3 == 0, F.concat(F.lit("s"), F.floor(k / 2))).otherwise(F.concat(F.lit("n"), n % 25))
+    rows = fx.raw(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).where("c = 0 or k % 3 = 1")
+    rows = rows.select(((k * 7919) % 10007 * 10**6 + k * 2 + F.col("c")).alias("seq"), F.concat(F.lit("s"), k).alias("frame_id"), up.alias("parent_id"))
+    known = fx.frame_tree(spark, d).where("frame_id = 'root' or (startswith(frame_id, 'n') and cast(substr(frame_id, 2) as int) < 20)")
+    return graph.add_frames(known, rows, "seq")
+
+
+@query(_BATCH + "SELECT frame_id, parent_id, error FROM steps WHERE error IS NOT NULL")
 def frames_refused(spark, d):
-    s = fx.raw(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("frame_id"), F.when(F.col("s_suppkey") % 5 == 1, "nowhere").otherwise(F.concat(F.lit("n"), "s_nationkey")).alias("parent_id"), "s_suppkey")
-    known = fx.frame_tree(spark, d).where("not startswith(frame_id, 's')").select("frame_id").unionByName(s.where("s_suppkey % 4 = 0").select("frame_id"))
-    return graph.refused_frames(known, s.drop("s_suppkey"))
+    return _added(spark, d)[1].select("frame_id", "parent_id", "error")
+
 
+@query(_BATCH + "SELECT frame_id, parent_id FROM steps WHERE i > 0 AND error IS NULL")
+def frames_added(spark, d):
+    return _added(spark, d)[0].select("frame_id", "parent_id")
 
-@query(_TO_ROOT + """, above(x, y, n) AS (SELECT frame_id, parent_id, 1 FROM frame_tree WHERE parent_id IS NOT NULL UNION ALL SELECT a.x, t.parent_id, n + 1 FROM above a JOIN frame_tree t ON t.frame_id = a.y WHERE t.parent_id IS NOT NULL),
-pairs AS (SELECT 's' || s_suppkey AS frm, CASE s_suppkey % 4 WHEN 0 THEN 's' || s_suppkey WHEN 1 THEN 'root' WHEN 2 THEN 'n' || s_nationkey ELSE 'r' || (s_suppkey % 5) END AS dst FROM supplier)
-SELECT p.frm, p.dst, CASE WHEN p.frm = p.dst OR a.x IS NOT NULL THEN round(-f.qz * t.qw + f.qw * t.qz, 6) END AS qz,
-CASE WHEN p.frm = p.dst OR a.x IS NOT NULL THEN round((1 - 2 * f.qz * f.qz) * (t.tx - f.tx) + 2 * f.qz * f.qw * (t.ty - f.ty), 4) END AS tx,
-CASE WHEN p.frm = p.dst OR a.x IS NOT NULL THEN NULL ELSE 'disconnected' END AS error
-FROM pairs p JOIN up f ON f.frame_id = p.frm JOIN up t ON t.frame_id = p.dst LEFT JOIN above a ON a.x = p.frm AND a.y = p.dst""")
+
+# The tree of suppliers, and beside it: a chain under an unknown frame, a cycle of three and a frame below it. Every pose beside it is a step of 1 along x.
+_BESIDE = [("loose1", "nowhere"), ("loose2", "loose1"), ("loose3", "loose2"), ("ring1", "ring2"), ("ring2", "ring3"), ("ring3", "ring1"), ("tail", "ring1")]
+_ENDS = ["root", "loose1", "loose3", "ring1", "ring3", "tail", "nowhere", "unheard"]
+
+
+@query(_TO_ROOT + f""", beside(x, y) AS (VALUES {', '.join(map(repr, _BESIDE))}),
+edge(x, y) AS (SELECT frame_id, parent_id FROM frame_tree WHERE parent_id IS NOT NULL UNION ALL SELECT x, y FROM beside), ids(x) AS (SELECT frame_id FROM frame_tree UNION ALL SELECT x FROM beside),
+climb(x, y, n) AS (SELECT x, y, 1 FROM edge UNION SELECT c.x, e.y, n + 1 FROM climb c JOIN edge e ON e.x = c.y WHERE n < 12), above AS (SELECT x, y, min(n) AS n FROM climb WHERE y IN (SELECT x FROM ids) AND x <> y GROUP BY x, y),
+pairs AS (SELECT 's' || s_suppkey AS frm, CASE s_suppkey % 4 WHEN 0 THEN 's' || s_suppkey WHEN 1 THEN 'root' WHEN 2 THEN 'n' || s_nationkey ELSE 'r' || (s_suppkey % 5) END AS dst FROM supplier UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+  UNION ALL SELECT a.x, b.x FROM (SELECT unnest({_ENDS!r}) AS x) a, (SELECT unnest({_ENDS!r}) AS x) b),
+judged AS (SELECT p.frm, p.dst, d.n AS down, u.n AS up, CASE WHEN p.frm = p.dst THEN NULL WHEN p.frm NOT IN (SELECT x FROM ids) OR p.dst NOT IN (SELECT x FROM ids) THEN 'not_found' WHEN d.x IS NOT NULL THEN NULL
+  WHEN p.dst IN ('ring1', 'ring2', 'ring3', 'tail') THEN 'cycle' WHEN u.x IS NOT NULL THEN NULL WHEN p.frm IN ('ring1', 'ring2', 'ring3', 'tail') THEN 'cycle' ELSE 'disconnected' END AS error
+  FROM pairs p LEFT JOIN above d ON d.x = p.dst AND d.y = p.frm LEFT JOIN above u ON u.x = p.frm AND u.y = p.dst)
+SELECT j.frm, j.dst, CASE WHEN error IS NULL THEN CASE WHEN f.frame_id IS NULL OR t.frame_id IS NULL THEN 0 ELSE round(-f.qz * t.qw + f.qw * t.qz, 6) END END AS qz,
+CASE WHEN error IS NULL THEN CASE WHEN j.frm = j.dst THEN 0 WHEN f.frame_id IS NULL OR t.frame_id IS NULL THEN coalesce(down, -up) ELSE round((1 - 2 * f.qz * f.qz) * (t.tx - f.tx) + 2 * f.qz * f.qw * (t.ty - f.ty), 4) END END AS tx, error
+FROM judged j LEFT JOIN up f ON f.frame_id = j.frm LEFT JOIN up t ON t.frame_id = j.dst""")
 def frame_transform_pairs(spark, d):
-    tree = _tree(spark, d)
-    k = F.col("s_suppkey")
+    """Transforms of pairs up, down, equal, unknown, of other branches, and around a cycle: one row each."""
+    step = g.col(g.pose(g.quat(0, 0, 0, 1), g.vec(1, 0, 0))).alias("pose")
+    tree = _tree(spark, d).unionByName(spark.createDataFrame(_BESIDE, "frame_id string, parent_id string").select("*", step))
+    k, s = F.col("s_suppkey"), fx.raw(spark, d, "supplier")
     dst = F.when(k % 4 == 0, F.concat(F.lit("s"), k)).when(k % 4 == 1, "root").when(k % 4 == 2, F.concat(F.lit("n"), "s_nationkey")).otherwise(F.concat(F.lit("r"), k % 5))
-    pairs = fx.raw(spark, d, "supplier").select(F.concat(F.lit("s"), k).alias("frm"), dst.alias("dst"))
-    out = graph.frame_transform(graph.transforms_to_root(tree), graph.ancestors(tree), pairs)
+    few = [(a, b) for a in _ENDS for b in _ENDS]
+    pairs = s.select(F.concat(F.lit("s"), k).alias("frm"), dst.alias("dst")).unionByName(s.select(F.concat(F.lit("n"), "s_nationkey").alias("frm"), F.concat(F.lit("s"), k).alias("dst"))).unionByName(spark.createDataFrame(few, "frm string, dst string"))
+    out = graph.frame_transform(tree, pairs)
     return out.select("frm", "dst", F.round("pose.q.z", 6).alias("qz"), F.round("pose.t.x", 4).alias("tx"), "error")
 
 
@@ -337,6 +419,40 @@ def error_reductions(spark, d):
     return trajectory.error_reduction(RESULTS[0](spark, d)).select("result_id", F.round("error_reduction", 6).alias("error_reduction"))
 
 
+@query(""", n AS (SELECT user_id, event_id, value AS x, k AS y, 0.05 * k AS yaw, lag(event_id) OVER w AS before, lag(value) OVER w AS px, lag(k) OVER w AS py, 0.05 * lag(k) OVER w AS pyaw FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+e AS (SELECT user_id, cos(pyaw) * (x - px) + sin(pyaw) * (y - py) AS tx, cos(pyaw) * (y - py) - sin(pyaw) * (x - px) AS ty, yaw - pyaw AS turn, 0.01 * (event_id % 5) AS dx, 0.001 * (event_id % 7) AS dyaw FROM n WHERE before IS NOT NULL)
+SELECT user_id, count(*) AS n_edges, round(sqrt(avg(dx * dx)), 6) AS translation_rms, round(sqrt(avg(degrees(dyaw) ** 2)), 6) AS rotation_rms_deg FROM e GROUP BY user_id""")
+def pose_edge_consistency(spark, d):
+    """Odometry edges of each user, measured with a known error, against the poses of their nodes."""
+    e = fx.events(spark, d)
+    yaw = 0.05 * F.col("k")
+    nodes = e.select("user_id", "event_id", "t", g.col(g.pose(g.quat(0, 0, F.sin(yaw / 2), F.cos(yaw / 2)), g.vec(F.col("value"), F.col("k"), 0))).alias("pose"))
+    w = Window.partitionBy("user_id").orderBy("t", "event_id")
+    edges = nodes.select("user_id", F.lag("event_id").over(w).alias("source"), F.col("event_id").alias("target"), F.lag("pose").over(w).alias("before"), "pose").where("source is not null")
+    off, k = 0.001 * (F.col("target") % 7), F.col("target")
+    true = g.compose(g.invert(F.col("before")), F.col("pose"))
+    # the measured motion, of which the error is a step along its own x and a turn about z
+    wrong = g.invert(g.pose(g.quat(0, 0, F.sin(off / 2), F.cos(off / 2)), g.vec(0.01 * (k % 5), 0, 0)))
+    edges = edges.select("user_id", "source", "target", g.col(g.compose(true, wrong)).alias("motion"))
+    out = trajectory.edge_consistency(edges, nodes, "user_id", "event_id")
+    return out.select("user_id", "n_edges", F.round("translation_rms", 6).alias("translation_rms"), F.round("rotation_rms_deg", 6).alias("rotation_rms_deg"))
+
+
+_NEAR = """, c AS (SELECT o_orderkey AS candidate_id, o_custkey % 50 AS trajectory_id, o_custkey % 97 AS source, o_orderkey % 89 AS target, floor(CAST(o_totalprice AS DOUBLE) / 10000) AS score FROM orders),
+o AS (SELECT *, source * 10 AS s_ns, target * 10 AS t_ns, least(source, target) * 10 AS early, greatest(source, target) * 10 AS late, row_number() OVER (PARTITION BY trajectory_id ORDER BY score DESC, candidate_id) AS i FROM c),
+pick(trajectory_id, i, taken, candidate_id, good) AS (SELECT DISTINCT trajectory_id, 0::BIGINT, [{'e': -1000000::BIGINT, 'l': -1000000::BIGINT}], NULL::BIGINT, NULL::BOOLEAN FROM o UNION ALL
+SELECT o.trajectory_id, o.i, CASE WHEN len(list_filter(taken, lambda x: abs(x.e - o.early) <= 30 AND abs(x.l - o.late) <= 30)) > 0 THEN taken ELSE list_append(taken, {'e': o.early::BIGINT, 'l': o.late::BIGINT}) END,
+o.candidate_id, len(list_filter(taken, lambda x: abs(x.e - o.early) <= 30 AND abs(x.l - o.late) <= 30)) = 0 FROM pick p JOIN o ON o.trajectory_id = p.trajectory_id AND o.i = p.i + 1) """
+
+
+@query(_NEAR + "SELECT trajectory_id, candidate_id, CASE WHEN good THEN 'accepted' ELSE 'rejected' END AS status FROM pick WHERE i > 0")
+def closures_without_near_duplicates(spark, d):
+    c = fx.raw(spark, d, "orders").selectExpr(
+        "o_orderkey AS candidate_id", "o_custkey % 50 AS trajectory_id", "o_custkey % 97 AS source", "o_orderkey % 89 AS target", "cast(floor(cast(o_totalprice as double) / 10000) as double) AS score")
+    c = c.withColumns({"source_ns": F.col("source") * 10, "target_ns": F.col("target") * 10})
+    return trajectory.distinct_closures(c, "trajectory_id", 30).select("trajectory_id", "candidate_id", "status")
+
+
 @query(f"""SELECT p.trajectory_id, round(mean_uncertainty, 6) AS mean_uncertainty, round(max_uncertainty, 6) AS max_uncertainty, round(coalesce(n, 0) / nullif(dist, 0), 6) AS closure_density FROM
 (SELECT trajectory_id, avg(abs(y)) AS mean_uncertainty, max(abs(y)) AS max_uncertainty, sum(step) AS dist FROM (SELECT *, abs(x - lag(x) OVER w) AS step FROM pose_nodes WINDOW w AS (PARTITION BY trajectory_id ORDER BY timestamp_ns, event_id)) GROUP BY trajectory_id) p
 LEFT JOIN (SELECT trajectory_id, count(*) AS n FROM {CLOSURES[1]} WHERE status = 'accepted' GROUP BY trajectory_id) c USING (trajectory_id)""")
@@ -414,8 +530,7 @@ def quality_report_documents(spark, d):
 @query("""SELECT artifact_id, content_hash, '' AS configuration_hash, file_size FROM artifacts""")
 def manifest_documents(spark, d):
     a = fx.artifacts(spark, d).select("artifact_id", F.col("artifact_id").cast("string").alias("artifact_uuid"), "content_hash", "type", "file_size", F.lit("").alias("config_hash"))
-    text = F.regexp_replace(store.manifest_json(a.drop("artifact_id")), "config_hash", "configuration_hash")
-    manifest, _ = documents.read_manifest(text)
+    manifest, _ = documents.read_manifest(store.manifest_json(a.drop("artifact_id")))
     return a.select("artifact_id", manifest["content_hash"].alias("content_hash"), manifest["configuration_hash"].alias("configuration_hash"), manifest["file_size"].alias("file_size"))
 
 
