@@ -15,16 +15,22 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir; lineage ends there. Only in
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Only in
     local mode, where all is one machine, a folder of our own is made if none is set."""
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="karstline-"))
         base = spark.sparkContext.getCheckpointDir()
+    return base
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder; lineage ends there."""
+    spark = df.sparkSession
+    base = shared_folder(spark)
     path = f"{base}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

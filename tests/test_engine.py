@@ -7,7 +7,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from karstline import queries_space as K
+from karstline import queries_formats as K
 from karstline.functions import geometry as g
 from karstline.functions import identity as ids
 from karstline.functions import scoring
