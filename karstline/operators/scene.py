@@ -14,10 +14,10 @@ def in_range(df: DataFrame, start: int, end: int, ts: str = "timestamp_ns") -> D
 
 
 def lookup(df: DataFrame, order: list[str] | None = None, **equal) -> DataFrame:
-    """Rows whose columns equal the given values, in the given order (its last column breaks ties)."""
+    """Rows whose columns equal the given values, in the given order (its last column breaks ties; -name: from the greatest down)."""
     for name, value in equal.items():
         df = df.where(F.col(name) == value)
-    return df.orderBy(*order) if order else df
+    return df.orderBy(*[F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in order]) if order else df
 
 
 def with_payload(observations: DataFrame, payloads: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from .queries import _CLOSURE, _TO_ROOT, Q, SQL, _tree, query, uuid5_sql
 __all__ = ["Q", "SQL"]
 
 
-def _lookup(name: str, table, sql_table: str, columns: list[str], order: list, **equal) -> None:
+def _lookup(name: str, table, sql_table: str, columns: list[str], order: list[str], **equal) -> None:
     """Register a read by equality: scene.lookup over a domain table."""
     where = " AND ".join(f"{k} = {v!r}" for k, v in equal.items())
 
@@ -61,7 +61,7 @@ _lookup("optimization_results_by_trajectory", RESULTS[0], RESULTS[1], ["result_i
 _lookup("tasks_by_job", fx.tasks, "tasks", ["task_id", "status"], ["task_id"], job_id=7)
 _lookup("runs_by_task", fx.task_runs, "task_runs", ["order_id", "attempt"], ["attempt", "order_id"], task_id=7)
 _lookup("cache_entry_by_key", CACHE[0], CACHE[1], ["cache_key", "content_hash"], ["cache_key"], cache_key=7)
-_lookup("manifest_ids", MANIFESTS[0], MANIFESTS[1], ["manifest_id", "created_at"], [F.col("created_at").desc(), "manifest_id"])
+_lookup("manifest_ids", MANIFESTS[0], MANIFESTS[1], ["manifest_id", "created_at"], ["-created_at", "manifest_id"])
 
 
 @query("SELECT c_custkey * 1000 + 10 AS session_id, EXISTS (SELECT 1 FROM frames f WHERE f.session_id = c_custkey * 1000 + 10) AS known FROM customer")
