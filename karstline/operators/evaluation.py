@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import association
+from .graph import forget, written
 
 AXES = "xyz"
 
@@ -89,14 +90,14 @@ def nearest_points(points: DataFrame, others: DataFrame, key: str, id_: str, rad
     Points at the same place count once on either side. Rounds go from fine cells to coarse ones, radius / 2**(levels - 1) up to radius: a point is compared with the others in the 27
     cells around it, and what lies within a cell's edge is its nearest for certain, so only points without a near neighbour go on to the larger cells. Others of a cell are dealt
     to blocks of about `most`, and a point is sent to each block: a cell with a third of all points becomes many units of work. Distances are reduced to the
-    least of each point before they are shuffled; pairs are never stored."""
+    least of each point before they are shuffled; pairs are never stored. Rounds are written, so calling this runs jobs."""
     place = ["x", "y", "z"]
     ok = finite(*[F.col(c) for c in place])
     for c in place:
         ok &= F.abs(F.col(c)) < radius * 2.0**50  # beyond that, neighbouring doubles are further apart than the radius
-    every = points.where(ok & F.col(key).isNotNull()).select(key, *place).distinct()
-    there = others.where(ok & F.col(key).isNotNull()).groupBy(key, *place).agg(F.min(id_).alias("other_id"))
-    todo, done = every, None
+    todo = written(points.where(ok & F.col(key).isNotNull()).select(key, *place).distinct())
+    there = written(others.where(ok & F.col(key).isNotNull()).groupBy(key, *place).agg(F.min(id_).alias("other_id")))
+    done = None
     for k in range(levels - 1, -1, -1):
         size = radius / 2**k
         cell = lambda c: F.floor(F.col(c) / F.lit(size))
@@ -105,16 +106,18 @@ def nearest_points(points: DataFrame, others: DataFrame, key: str, id_: str, rad
         own = own.join(full, ["k", "cx", "cy", "cz"]).withColumn("block", F.pmod(F.xxhash64("other_id"), F.col("blocks")).cast("int")).drop("blocks")
         around = [F.explode(F.sequence(cell(c) - 1, cell(c) + 1)).alias(f"c{c}") for c in place]
         probe = todo.select(F.col(key).alias("k"), *place)
-        for c, spread in zip(place, around):
+        for spread in around:
             probe = probe.select("*", spread)
         probe = probe.join(full, ["k", "cx", "cy", "cz"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         d2 = sum((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in place)
         pairs = probe.join(own, ["k", "cx", "cy", "cz", "block"]).select("k", *place, d2.alias("d2"), "other_id").where(F.sqrt("d2") <= size)
         least = pairs.groupBy("k", *place).agg(F.min(F.struct("d2", "other_id")).alias("m"))
-        found = least.select(F.col("k").alias(key), *place, F.sqrt("m.d2").alias("distance"), "m.other_id")
+        found = written(least.select(F.col("k").alias(key), *place, F.sqrt("m.d2").alias("distance"), "m.other_id"))
         done = found if done is None else done.unionByName(found)
-        if k:
-            todo = todo.join(found.select(key, *place), [key, *place], "left_anti")
+        rest = written(todo.join(found.select(key, *place), [key, *place], "left_anti")) if k else None
+        forget(todo)
+        todo = rest
+    forget(there)
     return points.join(done, [key, *place], "left").select(*points.columns, "distance", "other_id")
 
 

@@ -270,7 +270,8 @@ def save_points(points: DataFrame, folder: str) -> DataFrame:
     and streamed to one file; the count at its head is known before. Models are written in parallel, and each file is renamed once it is whole."""
     counts = points.groupBy("model").agg(F.count("*").alias("n"))
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = points.join(counts, "model").repartition(n, "model").sortWithinPartitions("model", "point3d_id").select("model", "n", "point3d_id", "xyz", "rgb", "error", "track")
+    # by a hash of the model: a repartition by the join's own key would be taken as done by the join, whose skewed partitions Spark may split
+    rows = points.join(counts, "model").repartition(n, F.xxhash64("model")).sortWithinPartitions("model", "point3d_id").select("model", "n", "point3d_id", "xyz", "rgb", "error", "track")
 
     def run(batches):
         from pyarrow import fs
