@@ -87,6 +87,42 @@ def feature_json(keypoints: Column, descriptors: Column) -> Column:
     return F.when(same, F.to_json(F.struct(descriptors.alias("descriptors"), keypoints.alias("keypoints")))).otherwise(F.raise_error("as many descriptors as key points are required").cast("string"))
 
 
+#: The JSON columns of a calibration and their keys in its document, whether they must be there.
+CALIBRATION_PARTS = {"intrinsics_json": ("intrinsics", True), "distortion_json": ("distortion", False), "extrinsics_json": ("extrinsics", False), "uncertainty_json": ("uncertainty", False)}
+
+
+def calibration_document(df: DataFrame) -> tuple[Column, Column]:
+    """(text, error) of a calibration's document with sorted keys at every depth, so equal calibrations have equal bytes.
+
+    Columns calibration_id, sensor_id, version, calibration_time_ns, source, intrinsic_model, valid_from_ns, valid_to_ns and those of CALIBRATION_PARTS, which hold JSON.
+    Empty and null parts are left out, but intrinsics must be there; a part that does not parse, or names a key twice, is the error 'malformed <key>'."""
+    own = {c: F.col(c) for c in ("version", "calibration_time_ns", "valid_from_ns", "valid_to_ns")} | {c: F.col(c).cast("string") for c in ("calibration_id", "sensor_id")}
+    own |= {"source": F.coalesce("source", F.lit("")), "intrinsic_model": F.nullif("intrinsic_model", F.lit(""))}
+    error = F.lit(None).cast("string")
+    for c, (key, needed) in CALIBRATION_PARTS.items():
+        own[key] = F.try_parse_json(F.col(c))
+        given = F.lit(True) if needed else F.coalesce(F.col(c) != "", F.lit(False))
+        error = F.coalesce(error, F.when(given & own[key].isNull(), f"malformed {key}"))
+    return F.when(error.isNull(), F.to_json(F.struct(*[own[k].alias(k) for k in sorted(own)]))), error
+
+
+def read_calibration(text: Column) -> Column:
+    """The columns of a calibration's document; focal lengths and principal point come out of its intrinsics."""
+    v = F.try_parse_json(text)
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    fields = {"calibration_id": "string", "sensor_id": "string", "version": "long", "calibration_time_ns": "long", "source": "string", "intrinsic_model": "string", "valid_from_ns": "long", "valid_to_ns": "long"}
+    return F.struct(*[get(f"$.{k}", t).alias(k) for k, t in fields.items()], *[get(f"$.intrinsics.{k}", "double").alias(k) for k in ("fx", "fy", "cx", "cy")])
+
+
+def feature_document(detector: Column, descriptor_type: Column, keypoints: Column, descriptors: Column) -> tuple[Column, Column]:
+    """(text, error) of a feature artifact: key points (x, y, size, angle, response) and as many rows of descriptors, keys sorted. Null lists are errors too."""
+    same = F.coalesce(F.size(keypoints) == F.size(descriptors), F.lit(False)) & keypoints.isNotNull()
+    points = F.transform(keypoints, lambda p: F.struct(*[p[c].alias(c) for c in ("angle", "response", "size", "x", "y")]))
+    doc = F.struct(
+        F.size(keypoints).alias("count"), descriptor_type.alias("descriptor_type"), descriptors.alias("descriptors"), detector.alias("detector"), points.alias("keypoints"), F.lit(1).alias("schema_version"))
+    return F.when(same, F.to_json(doc)), F.when(~same, "keypoints and descriptors differ in length")
+
+
 def task_graph_json(tasks: DataFrame, edges: DataFrame, job: str = "job_id") -> DataFrame:
     """(job, graph): one document a job of its tasks and dependencies, sorted by id. One job's graph is one row."""
     t = tasks.groupBy(job).agg(F.array_sort(F.collect_list(F.struct("task_id", "status"))).alias("tasks"))

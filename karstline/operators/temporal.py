@@ -89,6 +89,15 @@ def next_version(intervals: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return keys.join(top, key, "left").select(key, (F.coalesce("v", F.lit(0)) + 1).alias("next_version"))
 
 
+def move_pointers(sensors: DataFrame, before: DataFrame, after: DataFrame, key: str, id_: str) -> DataFrame:
+    """sensors with the pointer `id_` at the calibration that was written last, where `after` has versions that `before` lacks; all others keep theirs.
+    Versions grow by one a write, so the last written is the highest. Resolving at a time never reads the pointer."""
+    top = lambda df, name: df.groupBy(key).agg(F.max(F.struct("version", id_)).alias(name))
+    j = sensors.join(top(after, "__new"), key, "left").join(top(before, "__old"), key, "left")
+    moved = F.col("__new.version") > F.coalesce("__old.version", F.lit(0))
+    return j.withColumn(id_, F.when(moved, F.col(f"__new.{id_}")).otherwise(F.col(id_))).select(*sensors.columns)
+
+
 def nominal_time(reading: Column, offset: Column) -> Column:
     return reading - offset
 
