@@ -30,8 +30,12 @@ def insert_rows(old: DataFrame, new: DataFrame, keys: list[str], seq: str, refer
     rows, good = new, F.lit(True)
     lacking = F.lit(False)
     for i, r in enumerate(references):
-        have = r.parents.select(F.col(r.key).alias(f"__key{i}")).distinct().withColumn(f"__ref{i}", F.lit(True))
-        rows = rows.join(have, F.col(r.column) == F.col(f"__key{i}"), "left").drop(f"__key{i}")
+        # rows that name no parent are dealt by their place, else all of them would come to one task; for all others both sides have 0
+        zero = lambda c: F.pmod(F.xxhash64(c), F.lit(1).cast("long"))
+        have = r.parents.where(F.col(r.key).isNotNull()).select(F.col(r.key).alias(f"__key{i}")).distinct()
+        have = have.withColumns({f"__ref{i}": F.lit(True), f"__zero{i}": zero(F.col(f"__key{i}"))})
+        rows = rows.withColumn(f"__deal{i}", F.when(F.col(r.column).isNull(), F.xxhash64(seq)).otherwise(zero(F.col(r.column))))
+        rows = rows.join(have, (F.col(r.column) == F.col(f"__key{i}")) & (F.col(f"__deal{i}") == F.col(f"__zero{i}")), "left").drop(f"__key{i}", f"__zero{i}", f"__deal{i}")
         good &= F.col(f"__ref{i}").isNotNull() | (F.col(r.column).isNull() & F.lit(r.optional))
         if not r.optional:
             lacking |= F.col(r.column).isNull()
