@@ -194,6 +194,36 @@ def test_clocks(spark):
     assert clocks.resolve_clocks(d.limit(0), spark.createDataFrame([], "a long, b long, offset_ns long")).collect() == []
 
 
+def test_clocks_in_long_chains(spark):
+    """Rounds follow forks, not links: a chain between two platform domains, a loop that comes back to a fork, a ring without a platform."""
+    n = 301
+    chain = [(0, 1, 5), *[(i, i + 1, i) for i in range(1, n)], (n, -1, 7), (3, 2, -1)]  # the last one goes along 2-3 with another offset
+    loop = [(150, 1000, 1), *[(i, i + 1, 1) for i in range(1000, 1040)], (1040, 150, -41)]
+    ring = [(2000 + i, 2000 + (i + 1) % 9, 0) for i in range(9)]
+    names = {x for a, b, _ in chain + loop + ring for x in (a, b)}
+    d = spark.createDataFrame([(x, x in (0, -1)) for x in names], "domain long, is_platform boolean")
+    near = {}
+    for a, b, o in chain + loop + ring:
+        near.setdefault(a, []).append((b, -o))
+        near.setdefault(b, []).append((a, o))
+    want, front = {0: (0, 0), -1: (-1, 0)}, [0, -1]
+    while front:
+        found = {}
+        for x in front:
+            for y, step in near[x]:
+                if y not in want:
+                    found[y] = min(found.get(y, (9**9,)), (want[x][0], x, want[x][1] + step))
+        want |= {y: (root, o) for y, (root, _, o) in found.items()}
+        front = list(found)
+    got = {r.domain: r for r in clocks.resolve_clocks(d, spark.createDataFrame(chain + loop + ring, "a long, b long, offset_ns long"), 8).collect()}
+    assert {x: r.root for x, r in got.items() if r.root is not None} == {x: r for x, (r, _) in want.items()} and len(got) == len(names)
+    assert {r.error for x, r in got.items() if x >= 2000} == {"unresolvable"} and got[150].error == "contradictory"
+    # without the odd link and the second platform domain all offsets stand
+    plain = spark.createDataFrame([x for x in chain + loop if x != (3, 2, -1) and x[1] != -1], "a long, b long, offset_ns long")
+    got = {r.domain: r for r in clocks.resolve_clocks(d, plain, 8).collect()}
+    assert all(got[i].offset_ns == -5 - i * (i - 1) // 2 for i in range(1, n + 1)) and got[1001].offset_ns == got[150].offset_ns - 2 and got[1040].error is None
+
+
 def test_error_codes(spark):
     rows = errors.error_codes(spark).collect()
     assert len(rows) == 47 == len({r.code for r in rows}) and {r.domain for r in rows if r.code // 1000 == 4} == {"COORDINATE"}
