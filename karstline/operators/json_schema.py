@@ -19,18 +19,47 @@ def _one(path: Column, rule: str) -> Column:
     return F.array(F.struct(path.alias("path"), F.lit(rule).alias("rule")))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f names it: the argument of a lambda is not written out again, as columns are."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _all(found: list[Column]) -> Column:
+    return F.flatten(F.array(_none(), *found))
+
+
+def facts(v: Column) -> Column:
+    """Struct of a VARIANT v, of its kind as kind() says, and of what it holds by that: text, number, items, fields, each null for other kinds."""
+    def opened(v: Column) -> Column:
+        return F.struct(v.alias("v"), F.try_variant_get(v, "$", "map<string,variant>").alias("fields"), F.try_variant_get(v, "$", "array<variant>").alias("items"))
+
+    def scalar(b: Column) -> Column:  # only what holds nothing is looked at, so that no value is walked again for each level above it
+        return F.when(b["fields"].isNull() & b["items"].isNull(), F.schema_of_variant(b["v"]))
+
+    def named(b: Column) -> Column:
+        s = b["s"]
+        number = F.when(s.isNotNull() & ~s.isin("STRING", "BOOLEAN", "VOID"), F.try_variant_get(b["v"], "$", "double"))
+        return F.struct(b["b"].alias("b"), s.alias("s"), number.alias("number"))
+
+    def held(c: Column) -> Column:
+        b, s, number = c["b"], c["s"], c["number"]
+        kind = (
+            F.when(b["fields"].isNotNull(), "object").when(b["items"].isNotNull(), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null")
+            .when(number == F.floor(number), "integer").when(number.isNotNull(), "number"))
+        text = F.when(s == "STRING", F.try_variant_get(b["v"], "$", "string"))
+        return F.struct(b["v"].alias("v"), kind.alias("kind"), text.alias("text"), number.alias("number"), b["items"].alias("items"), b["fields"].alias("fields"))
+
+    shape = _let(_let(v, opened), lambda b: F.struct(b.alias("b"), b["v"].alias("v"), scalar(b).alias("s")))
+    return _let(_let(shape, named), held)
+
+
 def kind(v: Column) -> Column:
     """object, array, string, boolean, null, integer (whole numbers, 2.0 included) or number; null for no value."""
-    s = F.schema_of_variant(v)
-    number = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null")
-        .when(number.isNotNull() & (number == F.floor(number)), "integer").when(number.isNotNull(), "number")
-    )
+    return facts(v)["kind"]
 
 
-def _rules(schema: dict | bool, root: dict, v: Column, path: Column, formats: bool) -> list[Column]:
-    """Arrays of violations, one a keyword; a keyword says nothing about values of types that it isn't for."""
+def _rules(schema: dict | bool, root: dict, x: Column, path: Column, formats: bool) -> list[Column]:
+    """Arrays of violations of the value that facts x are of, one a keyword; a keyword says nothing about values of types that it isn't for."""
     if schema is True:
         return []
     if schema is False:
@@ -39,9 +68,8 @@ def _rules(schema: dict | bool, root: dict, v: Column, path: Column, formats: bo
         at = root
         for part in schema["$ref"].removeprefix("#/").split("/"):
             at = at[part]
-        return _rules(at, root, v, path, formats)
-    out, k = [], kind(v)
-    text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+        return _rules(at, root, x, path, formats)
+    out, k, text, number = [], x["kind"], x["text"], x["number"]
 
     def say(rule: str, applies: Column, ok: Column) -> None:
         out.append(F.when(applies & ~ok, _one(path, rule)).otherwise(_none()))
@@ -53,11 +81,11 @@ def _rules(schema: dict | bool, root: dict, v: Column, path: Column, formats: bo
         if values is not None:
             # numbers by value, all else by kind and text
             same = F.lit(False)
-            for x in values:
-                if isinstance(x, (int, float)) and not isinstance(x, bool):
-                    same |= k.isin("integer", "number") & (number == float(x))
+            for value in values:
+                if isinstance(value, (int, float)) and not isinstance(value, bool):
+                    same |= k.isin("integer", "number") & (number == float(value))
                 else:
-                    same |= F.to_json(v) == json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+                    same |= F.to_json(x["v"]) == json.dumps(value, separators=(",", ":"), ensure_ascii=False)
             say(rule, F.lit(True), F.coalesce(same, F.lit(False)))
     is_text, is_number = k == "string", k.isin("integer", "number")
     if "pattern" in schema:
@@ -71,22 +99,22 @@ def _rules(schema: dict | bool, root: dict, v: Column, path: Column, formats: bo
         if rule in schema:
             say(rule, is_number, ok(schema[rule]))
     if schema.keys() & {"items", "minItems", "maxItems"}:
-        items = F.when(k == "array", F.try_variant_get(v, "$", "array<variant>"))
+        items = x["items"]
         for rule, ok in (("minItems", lambda n: F.size(items) >= n), ("maxItems", lambda n: F.size(items) <= n)):
             if rule in schema:
                 say(rule, k == "array", ok(schema[rule]))
         if "items" in schema:
-            each = F.transform(items, lambda x, i: F.flatten(F.array(_none(), *_rules(schema["items"], root, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), formats))))
+            each = F.transform(items, lambda e, i: _judged(e, schema["items"], root, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), formats))
             out.append(F.coalesce(F.flatten(each), _none()))
     if schema.keys() & {"properties", "required", "additionalProperties"}:
-        fields = F.when(k == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+        fields = x["fields"]
         for name in schema.get("required", []):
             out.append(F.when((k == "object") & ~F.map_contains_key(fields, name), _one(F.concat(path, F.lit(f".{name}")), "required")).otherwise(_none()))
         known = schema.get("properties", {})
         for name, sub in known.items():
-            inner = _rules(sub, root, F.element_at(fields, F.lit(name)), F.concat(path, F.lit(f".{name}")), formats)
-            if inner:
-                out.append(F.when(F.coalesce(F.map_contains_key(fields, name), F.lit(False)), F.flatten(F.array(*inner))).otherwise(_none()))
+            if sub is not True:
+                inner = _judged(F.element_at(fields, F.lit(name)), sub, root, F.concat(path, F.lit(f".{name}")), formats)
+                out.append(F.when(F.coalesce(F.map_contains_key(fields, name), F.lit(False)), inner).otherwise(_none()))
         more = schema.get("additionalProperties", True)
         if more is not True:
             rest = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin(*known)) if known else F.map_entries(fields)
@@ -94,25 +122,32 @@ def _rules(schema: dict | bool, root: dict, v: Column, path: Column, formats: bo
             if more is False:
                 found = F.transform(rest, lambda e: F.struct(place(e).alias("path"), F.lit("additionalProperties").alias("rule")))
             else:
-                found = F.flatten(F.transform(rest, lambda e: F.flatten(F.array(_none(), *_rules(more, root, e["value"], place(e), formats)))))
+                found = F.flatten(F.transform(rest, lambda e: _judged(e["value"], more, root, place(e), formats)))
             out.append(F.coalesce(found, _none()))
     return out
 
 
+def _judged(v: Column, schema: dict | bool, root: dict, path: Column, formats: bool) -> Column:
+    return _let(facts(v), lambda x: _all(_rules(schema, root, x, path, formats)))
+
+
 def violations(text: Column, schema: dict, formats: bool = True) -> Column:
     """What a JSON text breaks of a schema: array of (path, rule), the rule being the keyword, the path $.a.b[0]; empty if nothing. A null or broken text
     breaks 'json'.
 
     Keywords: type, required, properties, additionalProperties, items, enum, const, pattern, minimum, maximum and their exclusive forms, minLength, maxLength, minItems, maxItems,
     $ref within the document, and format uuid if formats is on; others are not looked at. Schemas must not refer to themselves."""
-    v = F.try_parse_json(text)
-    found = F.flatten(F.array(_none(), *_rules(schema, schema, v, F.lit("$"), formats)))
-    return F.when(v.isNull(), _one(F.lit("$"), "json")).otherwise(found)
+    return _let(facts(F.try_parse_json(text)), lambda x: F.when(x["v"].isNull(), _one(F.lit("$"), "json")).otherwise(_all(_rules(schema, schema, x, F.lit("$"), formats))))
+
+
+def _dealt(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs over all cores: judging costs far more than reading, and a small file would come to one task."""
+    return docs.select(*columns).repartition(max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def all_violations(docs: DataFrame, id_: str, text: str, schema: dict, formats: bool = True) -> DataFrame:
     """id_, path, rule: a row for each violation of each document."""
-    return docs.select(id_, F.inline(violations(F.col(text), schema, formats)))
+    return _dealt(docs, id_, text).select(id_, F.inline(violations(F.col(text), schema, formats)))
 
 
 # The adapter's configuration, a kind for each key (its stages are the sections), and words that belong to a calibration.
@@ -130,10 +165,15 @@ def effective(text: Column) -> Column:
     """The configuration of a text as VARIANT: {} for a blank one, what stands in `config` of a pipeline's envelope; null for broken JSON."""
     blank = text.isNull() | text.rlike("^[ \\t\\r\\n]*$")
     v = F.when(blank, F.parse_json(F.lit("{}"))).otherwise(F.try_parse_json(text))
-    fields = F.when(kind(v) == "object", F.try_variant_get(v, "$", "map<string,variant>"))
-    inner = F.element_at(fields, F.lit("config"))
-    wrapped = (F.size(fields) == 4) & F.forall(F.array(*[F.lit(k) for k in ENVELOPE]), lambda k: F.map_contains_key(fields, k)) & (kind(inner) == "object")
-    return F.when(F.coalesce(wrapped, F.lit(False)), inner).otherwise(v)
+
+    def opened(x: Column) -> Column:
+        inner = F.element_at(x["fields"], F.lit("config"))
+        wrapped = (F.size(x["fields"]) == 4) & (kind(inner) == "object")
+        for k in ENVELOPE:
+            wrapped &= F.map_contains_key(x["fields"], k)
+        return F.when(F.coalesce(wrapped, F.lit(False)), inner).otherwise(x["v"])
+
+    return _let(facts(v), opened)
 
 
 def forbidden_keys(configs: DataFrame, id_: str, most_depth: int = 1000) -> DataFrame:
@@ -144,13 +184,13 @@ def forbidden_keys(configs: DataFrame, id_: str, most_depth: int = 1000) -> Data
     level = configs.select(id_, F.lit("$").alias("path"), F.to_json("config").alias("__v"))
     found = None
     for _ in range(most_depth):
-        v = F.try_parse_json("__v")
-        level = level.withColumn("__k", kind(v)).where("__k in ('object', 'array')")
-        fields = F.when(F.col("__k") == "object", F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("v"))))
-        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), F.to_json(x).alias("v")))
-        opened = level.select(id_, "path", "__k", F.inline(F.coalesce(fields, items)))
-        deeper = F.concat(F.col("path"), F.when(F.col("__k") == "object", F.concat(F.lit("."), "key")).otherwise(F.col("key")))
-        opened = written(opened.select(id_, deeper.alias("path"), F.when(F.col("__k") == "object", F.col("key")).alias("key"), F.col("v").alias("__v")))
+        # what a text of JSON is shows in its first letter; only objects and lists are opened
+        level = level.where("left(__v, 1) in ('{', '[')")
+        key = F.lit(None).cast("string")
+        entries = _let(facts(F.try_parse_json("__v")), lambda x: F.coalesce(
+            F.transform(F.map_entries(x["fields"]), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["key"].alias("key"), F.to_json(e["value"]).alias("__v"))),
+            F.transform(x["items"], lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), key.alias("key"), F.to_json(e).alias("__v")))))
+        opened = written(level.select(id_, "path", F.inline(entries)).select(id_, F.concat("path", "step").alias("path"), "key", "__v"))
         if opened.isEmpty():
             forget(opened)
             return found if found is not None else configs.select(id_, F.lit("").alias("path"), F.lit("").alias("key")).limit(0)
@@ -165,9 +205,7 @@ def config_violations(docs: DataFrame, id_: str, text: str) -> DataFrame:
 
     Rules: json, calibration (a forbidden word as a key, at any depth), object, unknown_key, type, threads (0 or below -1), unknown_stage, duplicate_stage. Numbers count as whole or
     fractional alike, and true and false as numbers, as the adapter's conversions do."""
-    c = docs.select(id_, effective(F.col(text)).alias("config"))
-    v = F.col("config")
-    fields = F.when(kind(v) == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+    c = _dealt(docs, id_, text).select(id_, effective(F.col(text)).alias("config"))
     get = lambda m, name: F.element_at(m, F.lit(name))
     fits = {"int": ("integer", "number", "boolean"), "double": ("integer", "number", "boolean"), "bool": ("boolean",), "string": ("string",)}
 
@@ -178,27 +216,29 @@ def config_violations(docs: DataFrame, id_: str, text: str) -> DataFrame:
         extra = F.filter(F.map_keys(m), lambda k: ~k.isin(*allowed))
         return F.coalesce(F.transform(extra, lambda k: F.struct(F.concat(F.lit(f"{path}."), k).alias("path"), F.lit("unknown_key").alias("rule"))), _none())
 
-    threads = get(fields, "threads")
-    whole = F.when(kind(threads) == "boolean", F.try_variant_get(threads, "$", "boolean").cast("double")).otherwise(F.try_variant_get(threads, "$", "double"))
-    whole = F.when(whole >= 0, F.floor(whole)).otherwise(F.ceil(whole))
-    out = [
-        wrong(v.isNull(), "$", "json"), wrong(kind(v) != "object", "$", "object"), unknown(fields, TOP, "$"),
-        wrong(~kind(threads).isin(*fits["int"]), "$.threads", "type"), wrong(kind(threads).isin(*fits["int"]) & ((whole == 0) | (whole < -1)), "$.threads", "threads"),
-        wrong(kind(get(fields, "seed")) != "string", "$.seed", "type"),
-    ]
-    for name, keys in SECTIONS.items():
-        section = get(fields, name)
-        inner = F.when(kind(section) == "object", F.try_variant_get(section, "$", "map<string,variant>"))
-        out += [wrong(kind(section) != "object", f"$.{name}", "type"), unknown(inner, keys, f"$.{name}")]
-        out += [wrong(~kind(get(inner, k)).isin(*fits[t]), f"$.{name}.{k}", "type") for k, t in keys.items()]
-    stages = get(fields, "enabled_stages")
-    items = F.when(kind(stages) == "array", F.try_variant_get(stages, "$", "array<variant>"))
-    named = F.transform(items, lambda x: F.when(kind(x) == "string", F.try_variant_get(x, "$", "string")))
-    out.append(wrong(kind(stages) != "array", "$.enabled_stages", "type"))
-    at = lambda i: F.concat(F.lit("$.enabled_stages["), i.cast("string"), F.lit("]"))
-    judged = F.transform(named, lambda s, i: F.struct(at(i).alias("path"), (
-        F.when(s.isNull(), "type").when(~s.isin(*SECTIONS), "unknown_stage").when(F.array_position(named, s) <= i, "duplicate_stage")).alias("rule")))
-    out.append(F.coalesce(F.filter(judged, lambda r: r["rule"].isNotNull()), _none()))
-    flat = c.select(id_, F.inline(F.flatten(F.array(*out))))
+    def threads(x: Column) -> Column:
+        n = F.when(x["kind"] == "boolean", F.try_variant_get(x["v"], "$", "boolean").cast("double")).otherwise(x["number"])
+        n = F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n))
+        fit = x["kind"].isin(*fits["int"])
+        return _all([wrong(~fit, "$.threads", "type"), wrong(fit & ((n == 0) | (n < -1)), "$.threads", "threads")])
+
+    def section(name: str, keys: dict):
+        return lambda x: _all([wrong(x["kind"] != "object", f"$.{name}", "type"), unknown(x["fields"], keys, f"$.{name}"), *[wrong(~kind(get(x["fields"], k)).isin(*fits[t]), f"$.{name}.{k}", "type") for k, t in keys.items()]])
+
+    def stages(x: Column) -> Column:
+        at = lambda i: F.concat(F.lit("$.enabled_stages["), i.cast("string"), F.lit("]"))
+        judged = lambda named: F.transform(named, lambda s, i: F.struct(at(i).alias("path"), (
+            F.when(s.isNull(), "type").when(~s.isin(*SECTIONS), "unknown_stage").when(F.array_position(named, s) <= i, "duplicate_stage")).alias("rule")))
+        found = _let(F.transform(x["items"], lambda e: facts(e)["text"]), lambda named: F.filter(judged(named), lambda r: r["rule"].isNotNull()))
+        return _all([wrong(x["kind"] != "array", "$.enabled_stages", "type"), F.coalesce(found, _none())])
+
+    def judge(x: Column) -> Column:
+        part = lambda name, f: _let(facts(get(x["fields"], name)), f)
+        return _all([
+            wrong(x["v"].isNull(), "$", "json"), wrong(x["kind"] != "object", "$", "object"), unknown(x["fields"], TOP, "$"), part("threads", threads),
+            wrong(kind(get(x["fields"], "seed")) != "string", "$.seed", "type"), *[part(name, section(name, keys)) for name, keys in SECTIONS.items()], part("enabled_stages", stages)])
+
+    v = F.col("config")
+    flat = c.select(id_, F.inline(_let(facts(v), judge)))
     words = forbidden_keys(c.where(v.isNotNull()), id_).select(id_, "path", F.lit("calibration").alias("rule"))
     return flat.unionByName(words)

@@ -142,6 +142,11 @@ def test_schema_rules(spark, schema):
     assert json_schema.all_violations(df.limit(0), "id", "text", schema).collect() == []
 
 
+def test_a_document_is_parsed_once(spark):
+    text = F.col("text")
+    assert str(json_schema.violations(text, schemas.TRAJECTORY)).count("try_parse_json") == 1
+
+
 def test_configurations(spark):
     docs = {
         1: "", 2: " \n\t", 3: "{}", 4: None, 5: "{x", 6: "[1]", 7: "5",
