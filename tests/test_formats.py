@@ -145,6 +145,7 @@ def test_schema_rules(spark, schema):
 def test_a_document_is_parsed_once(spark):
     text = F.col("text")
     assert str(json_schema.violations(text, schemas.TRAJECTORY)).count("try_parse_json") == 1
+    assert str(json_schema.effective(text)).count("try_parse_json") == 1
 
 
 def test_configurations(spark):
