@@ -573,6 +573,26 @@ def test_op3_recall(spark):
     assert out.agg(F.sum("n_removed")).first()[0] >= 0.998 * len(rows) / 2
 
 
+def test_op3_cut_points(spark, monkeypatch):
+    """Signatures are written for one part of the bands at a time, without texts, and deleted before the next; places of lines hold no texts either."""
+    import os
+
+    real, seen = line_dedup.cut, []
+
+    def cut(df, name="cut", **more):
+        alive = [f for f in seen if "buckets" in f.columns and os.path.exists(f._cut_path)]
+        out = real(df, name, **more)
+        seen.append(out)
+        assert not ("buckets" in out.columns and alive), name
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", cut)
+    rows = [(i, f"line {i} of some words that stand alone {i * i}\nline {i // 2} that two of them share, word by word") for i in range(40)]
+    assert line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), widths=line_dedup.WIDTHS).where("n_removed > 0").count() > 0
+    signed = [f for f in seen if "buckets" in f.columns]
+    assert len(signed) == 3 and not any("line" in f.columns for f in signed) and not any(os.path.exists(f._cut_path) for f in signed)
+
+
 def test_link_buckets_rows(spark):
     """A bucket of 3,000 members that don't link: what is offered for verification does not grow with its square."""
     n, seen = 3000, []
