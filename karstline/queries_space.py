@@ -138,4 +138,4 @@ SELECT camera_id AS observation_id, element_id, round(distance, 6) AS distance F
 def elements_observed(spark, d):
     o = fx.raw(spark, d, "supplier").selectExpr(*_EYES, "2.0D + s_suppkey % 6 AS reach")
     o = o.select(F.col("camera_id").alias("observation_id"), g.col(g.vec(F.col("x"), F.col("y"), F.col("z"))).alias("t"), "reach")
-    return visibility.observed_by(o, _elements(spark, d), 8.0).select("observation_id", "element_id", F.round("distance", 6).alias("distance"))
+    return visibility.observed_by(o, _elements(spark, d), 8.0, digits=6)
