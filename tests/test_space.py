@@ -200,3 +200,25 @@ def test_visibility(spark):
     cubes = frame(spark, [(1, (1.0, 1.0, 1.0), (2.0, 2.0, 2.0)), (2, (-1.0, -1.0, -1.0), (1.0, 1.0, 1.0)), (3, (2.0, 0.0, 0.0), (3.0, 0.0, 0.0)), (4, (2.0, 0.1, 0.0), (3.0, 1.0, 0.0))], BOX).withColumnRenamed("id", "element_id")
     got = {(r.observation_id, r.element_id): round(r.distance, 6) for r in visibility.observed_by(seen, cubes, 1.5).collect()}
     assert got == {(1, 1): round(math.sqrt(3), 6), (1, 2): 0.0, (1, 3): 2.0, (2, 2): 0.0}
+
+
+def test_visibility_is_dealt(spark, monkeypatch):
+    """Tables of one task are joined in several; measurements from one place and elements of one box are compared once, and come back all."""
+    turned = lambda c: (0.0, math.sin(c / 20), 0.0, math.cos(c / 20))
+    cameras = frame(spark, [(c, turned(c), (float(c % 4), 0.0, 0.0)) for c in range(40)], "camera_id long, q struct<x: double, y: double, z: double, w: double>, t struct<x: double, y: double, z: double>")
+    cameras = cameras.withColumns({k: F.lit(v) for k, v in {"fx": 500, "fy": 500, "cx": 320, "cy": 240, "width": 640, "height": 480, "near": 1, "far": 30}.items()}).coalesce(1)
+    corner = lambda e, r: (e % 5 + r, r, 2 * (e % 10) + r)
+    elements = frame(spark, [(e, corner(e, -0.5), corner(e, 0.5)) for e in range(200)], BOX).withColumnRenamed("id", "element_id").coalesce(1)
+    seen = visibility.visible_from(cameras, elements, 4.0)
+    assert seen.select(F.spark_partition_id()).distinct().count() > 1
+
+    real, sizes = visibility.met, []
+    monkeypatch.setattr(visibility, "met", lambda a, b, *more: sizes.append((a.count(), b.count())) or real(a, b, *more))
+    got = visibility.observed_by(cameras.selectExpr("camera_id AS observation_id", "t", "3D AS reach"), elements, 4.0, digits=6, most=3).collect()
+    want = []
+    for o in range(40):
+        for e in range(200):
+            gaps = [max(abs(o % 4 - e % 5) - 0.5, 0), 0, max(2 * (e % 10) - 0.5, 0)]
+            if (far := sum(x * x for x in gaps) ** 0.5) <= 3:
+                want.append((o, e, round(far, 6)))
+    assert sorted(tuple(r) for r in got) == want and sizes == [(4, 10)]
