@@ -5,7 +5,7 @@ by the pattern; each match that is no token itself becomes rows (place, token) o
 the place being word and position in one integer. A recursive query joins neighbouring rows
 with the merge table, contracts the leftmost pair of least rank of each word, and goes on with the words
 that still had one, until none has: the same order of merges as tiktoken's. Decoding
-joins ids with the vocabulary and aggregates the bytes in order of position.
+selects the bytes of ids, in their order, from the vocabulary as one list.
 
 Words go to the query in groups of at most WORD_BYTES bytes. Answers are kept in a
 dictionary of at most CACHE_WORDS words a worker, emptied when full: it saves work and
@@ -53,11 +53,7 @@ WITH RECURSIVE step(place, id, busy) AS (
 SELECT place >> 32 AS word, list(id ORDER BY place) AS ids FROM step WHERE NOT busy GROUP BY word ORDER BY word
 """
 
-DECODE = """
-SELECT t.d AS d, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes
-FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM given) t
-JOIN vocabulary v ON v.id = t.id GROUP BY t.d ORDER BY t.d
-"""
+DECODE = "SELECT d, unhex(array_to_string(list_select(hex, places), '')) AS bytes FROM given, vocabulary"
 
 
 class Bpe:
@@ -82,7 +78,7 @@ class Bpe:
         as_table = lambda **c: pa.table({k: pa.array(v) for k, v in c.items()})
         self.db.register("m0", as_table(pair=list(self.pairs), rank=list(self.pairs.values())))
         self.db.register("v0", as_table(id=list(self.ranks.values()), hex=[t.hex() for t in self.ranks]))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM m0; CREATE TABLE vocabulary AS SELECT * FROM v0")
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM m0; CREATE TABLE vocabulary AS SELECT list(coalesce(hex, '') ORDER BY n) AS hex FROM range((SELECT max(id) + 1 FROM v0)) r(n) LEFT JOIN v0 ON id = n")
         self.size = max(self.ranks.values()) + 1
 
     def _merge(self, words: list[bytes]) -> list[np.ndarray]:
@@ -157,13 +153,13 @@ class Bpe:
         if len(flat) and not set(np.unique(flat).tolist()) <= self._known:
             raise ValueError("an id is not in the vocabulary")
         offs = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))
-        self.db.register("given", pa.table({"d": pa.array(np.arange(len(ids))), "ids": lists}))
+        places = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat + 1))  # lists count from 1
+        self.db.register("given", pa.table({"d": pa.array(np.arange(len(ids))), "places": places}))
         got = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("given")
         out = [b""] * len(ids)
         for d, b in zip(got["d"].to_pylist(), got["bytes"].to_pylist()):
-            out[d] = b
+            out[d] = b or b""
         return out
 
     @functools.cached_property

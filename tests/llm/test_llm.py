@@ -262,6 +262,21 @@ def test_op5(spark, docs, texts):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_op6_decodes_without_join():
+    """Ids select their bytes from one list: no rows of single ids are made, joined or sorted. Empty texts and any order of ids come back."""
+    import public_tokenizers
+
+    bpe = bpe_duckdb.Bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    bytes_of = {r: t for t, r in bpe.ranks.items()}
+    rng = np.random.default_rng(5)
+    ids = [[], [max(bytes_of), min(bytes_of)], *[rng.choice(list(bytes_of), n).tolist() for n in (1, 3000, 7)], []]
+    assert bpe.decode([np.array(x, "<u4").tobytes() for x in ids]) == [b"".join(bytes_of[i] for i in x) for x in ids]
+    assert bpe.decode([]) == []
+    with pytest.raises(ValueError):
+        bpe.decode([np.array([bpe.size], "<u4").tobytes()])
+    assert "unnest" not in bpe_duckdb.DECODE.lower() and "order by" not in bpe_duckdb.DECODE.lower()
+
+
 def test_op6(spark):
     import public_tokenizers as P
     import tiktoken
