@@ -163,40 +163,55 @@ ENVELOPE = ("pipeline_id", "pipeline_version", "stage", "config")
 
 def effective(text: Column) -> Column:
     """The configuration of a text as VARIANT: {} for a blank one, what stands in `config` of a pipeline's envelope; null for broken JSON."""
+    return _let(_parsed(text), _unwrapped)
+
+
+def _parsed(text: Column) -> Column:
     blank = text.isNull() | text.rlike("^[ \\t\\r\\n]*$")
-    v = F.when(blank, F.parse_json(F.lit("{}"))).otherwise(F.try_parse_json(text))
+    return F.when(blank, F.parse_json(F.lit("{}"))).otherwise(F.try_parse_json(text))
+
+
+def _at(v: Column, path: str, type_: str = "variant") -> Column:
+    return F.try_variant_get(v, path, type_)
 
-    def opened(x: Column) -> Column:
-        inner = F.element_at(x["fields"], F.lit("config"))
-        wrapped = (F.size(x["fields"]) == 4) & (kind(inner) == "object")
-        for k in ENVELOPE:
-            wrapped &= F.map_contains_key(x["fields"], k)
-        return F.when(F.coalesce(wrapped, F.lit(False)), inner).otherwise(x["v"])
 
-    return _let(facts(v), opened)
+def _fields(v: Column, path: str = "$") -> Column:
+    return _at(v, path, "map<string,variant>")
+
+
+def _unwrapped(v: Column) -> Column:
+    """What stands in `config` of a VARIANT that is an envelope, v itself if it is none. Fields are counted only where all names are there."""
+    wrapped = _fields(v, "$.config").isNotNull()
+    for k in ENVELOPE:
+        wrapped &= _at(v, f"$.{k}").isNotNull()
+    return F.when(F.coalesce(wrapped, F.lit(False)) & (F.size(_fields(v)) == len(ENVELOPE)), _at(v, "$.config")).otherwise(v)
 
 
 def forbidden_keys(configs: DataFrame, id_: str, most_depth: int = 1000) -> DataFrame:
     """id_, path, key of every object key of configs(id_, config as VARIANT) that belongs to a calibration, at any depth: all documents are opened one level a round, until
-    no object or list is left. Rounds are written, since the next one's plan would else hold all before it."""
+    no object or list is left that holds such a key. Rounds are written, since the next one's plan would else hold all before it."""
     from .graph import forget, written
 
-    level = configs.select(id_, F.lit("$").alias("path"), F.to_json("config").alias("__v"))
+    # What a text of JSON is shows in its first letter; these keys need no escapes, so a value that holds one at any depth has it in its text as it is here.
+    def holds(t: Column) -> Column:
+        return F.left(t, F.lit(1)).isin("{", "[") & t.rlike('"(' + "|".join(FORBIDDEN) + ')":')
+
+    # a list of one or none instead of a filter, which Spark would move below what makes the text and so make it once more for each of its parts
+    level = configs.select(id_, F.lit("$").alias("path"), F.explode_outer(F.filter(F.array(F.to_json("config")), holds)).alias("__v")).where("__v is not null")
     found = None
     for _ in range(most_depth):
-        # what a text of JSON is shows in its first letter; only objects and lists are opened
-        level = level.where("left(__v, 1) in ('{', '[')")
         key = F.lit(None).cast("string")
-        entries = _let(facts(F.try_parse_json("__v")), lambda x: F.coalesce(
-            F.transform(F.map_entries(x["fields"]), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["key"].alias("key"), F.to_json(e["value"]).alias("__v"))),
-            F.transform(x["items"], lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), key.alias("key"), F.to_json(e).alias("__v")))))
-        opened = written(level.select(id_, "path", F.inline(entries)).select(id_, F.concat("path", "step").alias("path"), "key", "__v"))
+        entries = _let(F.try_parse_json("__v"), lambda v: F.coalesce(
+            F.transform(F.map_entries(_fields(v)), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["key"].alias("key"), F.to_json(e["value"]).alias("__v"))),
+            F.transform(_at(v, "$", "array<variant>"), lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), key.alias("key"), F.to_json(e).alias("__v")))))
+        opened = level.select(id_, "path", F.inline_outer(entries)).where(F.col("key").isin(*FORBIDDEN) | holds(F.col("__v")))
+        opened = written(opened.select(id_, F.concat("path", "step").alias("path"), "key", "__v"))
         if opened.isEmpty():
             forget(opened)
             return found if found is not None else configs.select(id_, F.lit("").alias("path"), F.lit("").alias("key")).limit(0)
         bad = opened.where(F.col("key").isin(*FORBIDDEN)).select(id_, "path", "key")
         found = bad if found is None else found.unionByName(bad)
-        level = opened.select(id_, "path", "__v")
+        level = opened.where(holds(F.col("__v"))).select(id_, "path", "__v")
     raise ValueError(f"deeper than {most_depth} levels")
 
 
@@ -204,41 +219,46 @@ def config_violations(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """id_, path, rule: everything that is wrong with adapter configurations, one row each; a document without a row is valid.
 
     Rules: json, calibration (a forbidden word as a key, at any depth), object, unknown_key, type, threads (0 or below -1), unknown_stage, duplicate_stage. Numbers count as whole or
-    fractional alike, and true and false as numbers, as the adapter's conversions do."""
-    c = _dealt(docs, id_, text).select(id_, effective(F.col(text)).alias("config"))
-    get = lambda m, name: F.element_at(m, F.lit(name))
-    fits = {"int": ("integer", "number", "boolean"), "double": ("integer", "number", "boolean"), "bool": ("boolean",), "string": ("string",)}
+    fractional alike, and true and false as numbers, as the adapter's conversions do. What several rules ask for is a column of a step before, not a lambda, so that it is compiled."""
+    t, v = F.col(text), F.col("config")
+
+    def configs(docs: DataFrame) -> DataFrame:
+        parsed = _dealt(docs, id_, text).select(id_, _parsed(t).alias("config"))
+        return parsed.select(id_, _unwrapped(v).alias("config"))
+
+    known = {"$": TOP} | {f"$.{name}": keys for name, keys in SECTIONS.items()}
+    kinds = {"$.threads": "int", "$.seed": "string"} | {f"$.{name}.{k}": t for name, keys in SECTIONS.items() for k, t in keys.items()}
+    shape = {p: F.col(f"s{i}") for i, p in enumerate(kinds)}
+    keys = {p: F.col(f"k{i}") for i, p in enumerate(known)}
+    named = F.transform(_at(v, "$.enabled_stages", "array<variant>"), lambda e: F.when(F.schema_of_variant(e) == "STRING", _at(e, "$", "string")))
+    n = F.when(shape["$.threads"] == "BOOLEAN", _at(v, "$.threads", "boolean").cast("double")).otherwise(_at(v, "$.threads", "double"))
+    looked = configs(docs).select(
+        id_, "config", named.alias("named"), *[F.schema_of_variant(_at(v, p)).alias(f"s{i}") for i, p in enumerate(kinds)], *[F.map_keys(_fields(v, p)).alias(f"k{i}") for i, p in enumerate(known)])
+    looked = looked.withColumn("threads", F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)))
 
     def wrong(cond: Column, path: str, rule: str) -> Column:
-        return F.when(F.coalesce(cond, F.lit(False)), _one(F.lit(path), rule)).otherwise(_none())
-
-    def unknown(m: Column, allowed, path: str) -> Column:
-        extra = F.filter(F.map_keys(m), lambda k: ~k.isin(*allowed))
-        return F.coalesce(F.transform(extra, lambda k: F.struct(F.concat(F.lit(f"{path}."), k).alias("path"), F.lit("unknown_key").alias("rule"))), _none())
-
-    def threads(x: Column) -> Column:
-        n = F.when(x["kind"] == "boolean", F.try_variant_get(x["v"], "$", "boolean").cast("double")).otherwise(x["number"])
-        n = F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n))
-        fit = x["kind"].isin(*fits["int"])
-        return _all([wrong(~fit, "$.threads", "type"), wrong(fit & ((n == 0) | (n < -1)), "$.threads", "threads")])
-
-    def section(name: str, keys: dict):
-        return lambda x: _all([wrong(x["kind"] != "object", f"$.{name}", "type"), unknown(x["fields"], keys, f"$.{name}"), *[wrong(~kind(get(x["fields"], k)).isin(*fits[t]), f"$.{name}.{k}", "type") for k, t in keys.items()]])
-
-    def stages(x: Column) -> Column:
-        at = lambda i: F.concat(F.lit("$.enabled_stages["), i.cast("string"), F.lit("]"))
-        judged = lambda named: F.transform(named, lambda s, i: F.struct(at(i).alias("path"), (
-            F.when(s.isNull(), "type").when(~s.isin(*SECTIONS), "unknown_stage").when(F.array_position(named, s) <= i, "duplicate_stage")).alias("rule")))
-        found = _let(F.transform(x["items"], lambda e: facts(e)["text"]), lambda named: F.filter(judged(named), lambda r: r["rule"].isNotNull()))
-        return _all([wrong(x["kind"] != "array", "$.enabled_stages", "type"), F.coalesce(found, _none())])
-
-    def judge(x: Column) -> Column:
-        part = lambda name, f: _let(facts(get(x["fields"], name)), f)
-        return _all([
-            wrong(x["v"].isNull(), "$", "json"), wrong(x["kind"] != "object", "$", "object"), unknown(x["fields"], TOP, "$"), part("threads", threads),
-            wrong(kind(get(x["fields"], "seed")) != "string", "$.seed", "type"), *[part(name, section(name, keys)) for name, keys in SECTIONS.items()], part("enabled_stages", stages)])
-
-    v = F.col("config")
-    flat = c.select(id_, F.inline(_let(facts(v), judge)))
-    words = forbidden_keys(c.where(v.isNotNull()), id_).select(id_, "path", F.lit("calibration").alias("rule"))
+        return F.when(cond, F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule")))
+
+    def unknown(p: str) -> Column:
+        extra = F.array_except(keys[p], F.array(*[F.lit(k) for k in known[p]]))
+        return F.transform(extra, lambda k: F.struct(F.concat(F.lit(f"{p}."), k).alias("path"), F.lit("unknown_key").alias("rule")))
+
+    def fit(p: str) -> Column:
+        s = shape[p]
+        return {"bool": s == "BOOLEAN", "string": s == "STRING"}.get(kinds[p], ~F.left(s, F.lit(4)).isin("STRI", "VOID", "OBJE", "ARRA"))
+
+    stages, count = F.col("named"), F.col("threads")
+    at = lambda i: F.concat(F.lit("$.enabled_stages["), i.cast("string"), F.lit("]"))
+    judged = F.transform(stages, lambda s, i: F.when(s.isNull(), F.struct(at(i).alias("path"), F.lit("type").alias("rule"))).when(
+        ~s.isin(*SECTIONS), F.struct(at(i).alias("path"), F.lit("unknown_stage").alias("rule"))).when(
+        F.array_position(stages, s) <= i, F.struct(at(i).alias("path"), F.lit("duplicate_stage").alias("rule"))))
+    single = F.array(
+        wrong(v.isNull(), "$", "json"), wrong(v.isNotNull() & keys["$"].isNull(), "$", "object"), *[wrong(~fit(p), p, "type") for p in kinds],
+        wrong(fit("$.threads") & ((count == 0) | (count < -1)), "$.threads", "threads"),
+        *[wrong(_at(v, p).isNotNull() & keys[p].isNull(), p, "type") for p in known if p != "$"], wrong(_at(v, "$.enabled_stages").isNotNull() & stages.isNull(), "$.enabled_stages", "type"))
+    # outer, as Spark would else judge each document once more, to leave out those without a row
+    lists = F.array(single, *[unknown(p) for p in known], judged)
+    flat = looked.select(id_, F.explode_outer(F.flatten(F.array_compact(lists))).alias("x")).where("x is not null").select(id_, "x.path", "x.rule")
+    # without such a word and without escapes no text has such a key, and needs no parsing for it
+    words = forbidden_keys(configs(docs.where(t.rlike("|".join([*FORBIDDEN, r"\\"])))), id_).select(id_, "path", F.lit("calibration").alias("rule"))
     return flat.unionByName(words)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from karstline.functions import errors
-from karstline.operators import clocks, json_schema
+from karstline.operators import clocks, graph, json_schema
 from karstline.plans import schemas
 from karstline.sources import trajectory_text as T
 
@@ -169,6 +169,22 @@ def test_configurations(spark):
     assert json_schema.config_violations(df.limit(0), "id", "text").collect() == []
 
 
+def test_only_ways_to_forbidden_keys_are_opened(spark, monkeypatch):
+    docs = {1: '{"matcher":{"a":[{"b":{}}],"c":{"\\u0066x":{"cy":1}}},"mapper":{"d":{"e":[[]]}}}', 2: '{"mapper":{"a":{"b":{"c":"no fx"}}}}', 3: '{"seed":"\\"fx\\":"}', 4: '{"a":[{"b":2},{"distortion":null}]}'}
+    real, seen = graph.written, []
+
+    def written(df):
+        out = real(df)
+        seen.extend((r[0], r.path) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(graph, "written", written)
+    df = spark.createDataFrame(list(docs.items()), "id int, text string")
+    got = json_schema.config_violations(df, "id", "text").where("rule = 'calibration'")
+    assert sorted((r.id, r.path) for r in got.collect()) == [(1, "$.matcher.c.fx"), (1, "$.matcher.c.fx.cy"), (4, "$.a[1].distortion")]
+    assert sorted(seen) == [(1, "$.matcher"), (1, "$.matcher.c"), (1, "$.matcher.c.fx"), (1, "$.matcher.c.fx.cy"), (4, "$.a"), (4, "$.a[1]"), (4, "$.a[1].distortion")]
+
+
 def test_clocks(spark):
     rng = random.Random(2)
     true, domains, links = {}, [], []
