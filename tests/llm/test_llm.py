@@ -608,6 +608,29 @@ def test_op3_cut_points(spark, monkeypatch):
     assert len(signed) == 3 and not any("line" in f.columns for f in signed) and not any(os.path.exists(f._cut_path) for f in signed)
 
 
+def test_op3_pairs_fit_in_size(spark, monkeypatch):
+    """Of lines that share buckets, those whose sets are too unequal are no pairs; the others are tested at the width that they met at."""
+    from karstline.llm import common
+
+    real, seen = common.cut, []
+
+    def cut(df, name="cut", **more):
+        out = real(df, name, **more)
+        if name == "pairs":
+            seen.extend(tuple(r) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(common, "cut", cut)
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    lines = [x for _ in range(40) for x in [word(200)] for x in (x[:130], x)]
+    near = word(120)
+    rows = list(enumerate([*lines, near, near[:60] + "#" + near[61:]]))
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), widths=line_dedup.WIDTHS)
+    assert {r.doc_id for r in out.where("n_removed > 0").collect()} == {81}
+    assert {x[2:] for x in seen} == {(0,)} and len({x[:2] for x in seen}) == 1
+
+
 def test_link_buckets_rows(spark):
     """A bucket of 3,000 members that don't link: what is offered for verification does not grow with its square."""
     n, seen = 3000, []
