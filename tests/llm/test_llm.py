@@ -588,6 +588,35 @@ def test_op3_recall(spark):
     assert out.agg(F.sum("n_removed")).first()[0] >= 0.998 * len(rows) / 2
 
 
+def test_op3_is_native(spark):
+    """No plan of lines runs Python, and the SQL kernels find what the numpy ones do."""
+    import pyarrow as pa
+
+    rows = [(i, f"line {i} of some words that stand alone {i * i}\nline {i // 2} that two of them share, word by word") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = docs.select("text")
+    plans = [line_dedup.placed_lines(docs), line_dedup._signed(text, line_dedup.WIDTHS, 24, 5), line_dedup._texts(text)]
+    plans += [line_dedup._cells(plans[2], line_dedup.WIDTHS), line_dedup.line_dedup(docs, widths=line_dedup.WIDTHS)]
+    for df in plans:
+        assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
+    rng = np.random.default_rng(6)
+    x = ["".join(rng.choice(list("abé漢😀 "), n)) for n in (0, 9, 10, 11, 40, 90, 400, 4000) for _ in range(4)]
+    y = ["".join("#" if rng.random() < 0.012 else c for c in v) for v in x]
+    got = line_dedup.similar(spark.createDataFrame([(k, k, v, w) for k, (v, w) in enumerate(zip(x, y))], "a long, b long, x string, y string"), ((10, 10, 1 << 31),), 80)
+    want = line_dedup._similar(pa.array(x, pa.large_string()), pa.array(y, pa.large_string()), 10, 80)
+    assert {r.a for r in got.collect()} == {k for k, v in enumerate(x) if len(v) >= 10 and want[k]} and 0 < want.sum() < len(x)
+
+
+def test_op3_small_sets(spark):
+    """Lines whose sets have few members, at a similarity of exactly 0.8: eight of ten shared."""
+    rng, rows = np.random.default_rng(9), []
+    while len(rows) < 120:
+        base = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 12, replace=False))
+        rows += [(len(rows), base), (len(rows) + 1, base + "#~"), (len(rows) + 2, "".join(rng.choice(list("0123456789"), 12)))]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), widths=((5, 10, 1 << 31),))
+    assert {r.doc_id for r in out.where("n_removed > 0").collect()} == {r[0] for r in rows if r[0] % 3 == 1}
+
+
 def test_op3_cut_points(spark, monkeypatch):
     """Signatures are written for one part of the bands at a time, without texts, and deleted before the next; places of lines hold no texts either."""
     import os
